@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -50,9 +50,18 @@ def hash_words(names: list[str]) -> np.ndarray:
     return mix(pd.util.hash_array(np.array(names, dtype=object), categorize=False))
 
 
+def flat_text(text: pa.Array) -> pa.Array:
+    """A copy of string values with offsets from 0 and nulls as empty texts.
+
+    Some of pyarrow's ASCII kernels misread slices that begin inside a buffer.
+    """
+    text = pc.fill_null(text.cast(pa.large_string()), "")
+    return text.take(pa.array(np.arange(len(text)))) if len(text) else text
+
+
 def split_words(text: pa.Array, lower: bool = False) -> Words:
     """Split on runs of the six ASCII white-space characters; null is no words."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    text = flat_text(text)
     if lower:
         text = pc.ascii_lower(text)
     lists = pc.ascii_split_whitespace(text)
@@ -71,11 +80,10 @@ def split_words(text: pa.Array, lower: bool = False) -> Words:
 
 def translate(text: pa.Array, table: np.ndarray) -> pa.Array:
     """Map the bytes of texts through a 256-entry table (lengths stay)."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
-    text = pa.concat_arrays([text])
+    text = flat_text(text)
     _, offsets, data = text.buffers()
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return pa.LargeStringArray.from_buffers(len(text), offsets, pa.py_buffer(table[raw].tobytes()), offset=text.offset)
+    return pa.LargeStringArray.from_buffers(len(text), offsets, pa.py_buffer(table[raw].tobytes()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

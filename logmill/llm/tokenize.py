@@ -2,7 +2,7 @@
 
 ``word_bpe`` files drop white space and never let a piece cross it, so a text's
 ids are the ids of its white-space separated words in order.  A boundary between
-an ASCII letter and an ASCII punctuation mark other than the apostrophe is one
+a (Latin-1) letter and an ASCII punctuation mark other than the apostrophe is one
 as well.  Texts that contain ``<|`` (where special strings could stand) go to
 the library whole.  The files are read from a path parameter and never copied.
 """
@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from logmill.llm.arrays import gather_runs, run_sums, split_words
+from logmill.llm.arrays import flat_text, gather_runs, run_sums, split_words
 
 END_ID = 1
-#: Words whose ids a worker remembers between batches.
+#: A worker adds words to those whose ids it remembers until it has so many.
 CACHE_WORDS = 400_000
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -59,18 +59,17 @@ class WordEncoder:
             coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
             new = iter([np.array(e.ids, np.uint32).tobytes() for e in coded])
             found = [next(new) if b is None else b for b in found]
-            room = CACHE_WORDS - len(cache)
-            if room > 0:
-                cache.update(list(zip(names, found))[: room + len(names) - len(missing)])
+            if len(cache) < CACHE_WORDS:
+                cache.update(zip(names, found))
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), lengths
 
     def encode(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: row ``i`` has ``ids[bounds[i]:bounds[i + 1]]``; null counts as empty."""
-        text = pc.fill_null(text.cast(pa.large_string()), "")
+        text = flat_text(text)
         odd = pc.match_substring(text, "<|").to_numpy(zero_copy_only=False)
         plain = text if not odd.any() else pc.if_else(pa.array(odd), "", text)
-        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-zà-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2")
         words = split_words(plain)
         flat, per_word = self._words(words.names)
         starts = np.cumsum(per_word) - per_word
