@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, frames, lines, packing, substrings, token_counts
+from logmill.llm import decontaminate, frames, lines, near_dup, packing, substrings, token_counts
 from logmill.llm.tokenize import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_min_max_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the hash of the text that is left (null text: null)."""
     kept = lines.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_decontamination": op5_suffix_array_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_min_max_near_dup": op9_min_max_near_dup,
     "op10_line_window_dedup": op10_line_window_dedup,
 }
 
