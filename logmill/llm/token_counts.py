@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import gather_runs, slices
+from logmill.llm.arrays import flat_text, gather_runs, slices
 from logmill.llm.frequent import frequent
 from logmill.llm.storage import materialize
 from logmill.llm.tokenize import load_tokenizer
@@ -33,6 +33,12 @@ HOT = 262_144
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+#: Units that are one pre-token as they are: a word of Latin letters or a run of ASCII marks, after a space or not.
+SINGLE = r"^ ?(?:[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+|[!-&(-/:-@\[-`{-~]+)$"
+#: Bytes of text at a time: distinct units take many times their size.
+SLICE = 6 << 20
+
+
 class PreTokenizer:
     """Cuts texts into the library's pre-tokens, one call per distinct unit between plain spaces."""
 
@@ -62,42 +68,55 @@ class PreTokenizer:
             return ASCII_PATTERN.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def counts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """``(row, code, n, names)``: text ``row`` has the pre-token ``names[code]`` ``n`` times."""
+    def tokens(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """``(row, code, names)`` of every pre-token occurrence: text ``row`` has ``names[code]`` there."""
         rows, units = cut_units(text)
         coded = units.dictionary_encode()
-        lists = [self.unit(u) for u in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = pa.array([p for x in lists for p in x], pa.large_string()).dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        if not names:
-            return (np.zeros(0, np.int64),) * 3 + ([],)
+        distinct = coded.dictionary
+        single = pc.match_substring_regex(distinct, SINGLE)
+        alone = single.to_numpy(zero_copy_only=False).astype(bool)
+        lists = [self.unit(u) for u in distinct.filter(pc.invert(single)).to_pylist()]
+        flat = pa.concat_arrays([distinct.filter(single), pa.array([p for x in lists for p in x], pa.large_string())]).dictionary_encode()
+        many = np.fromiter(map(len, lists), np.int64, len(lists))
+        lengths, starts = np.ones(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[alone] = np.arange(int(alone.sum()))
+        lengths[~alone] = many
+        starts[~alone] = int(alone.sum()) + np.cumsum(many) - many
         at = coded.indices.to_numpy().astype(np.int64)
-        codes = gather_runs(flat.indices.to_numpy().astype(np.int64), (np.cumsum(lengths) - lengths)[at], lengths[at])
-        keys, n = np.unique(np.repeat(rows, lengths[at]) * len(names) + codes, return_counts=True)
-        return keys // len(names), keys % len(names), n, names
+        codes = gather_runs(flat.indices.to_numpy().astype(np.int64), starts[at], lengths[at])
+        return np.repeat(rows, lengths[at]), codes, flat.dictionary
 
 
 _ASCII = np.zeros(256, bool)
 _ASCII[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK = _ASCII & ~_LETTER
+_MARK[[*range(0x30, 0x3A), 0x27, 0x7C]] = False
 _LEAD = np.zeros(256, bool)  # first bytes of two-byte characters, without those of U+0085 and U+00A0
 _LEAD[0xC3:0xE0] = True
 
 
 def cut_units(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Cut texts before single spaces between characters that are surely no white space.
+    """Cut texts before single spaces between characters that are surely no white space,
+    and between an ASCII letter and a mark other than an apostrophe or bar.
 
-    No pre-token crosses such a cut: a space can only begin one there.
+    No pre-token crosses such a cut: a space can only begin one there, and letters end
+    before a mark.  Bars are left out for the special strings, which hold one after a letter.
     """
-    text = pa.concat_arrays([pc.fill_null(text.cast(pa.large_string()), "")])
+    text = flat_text(text)
+    if not len(text):
+        return np.zeros(0, np.int64), text
     _, offsets, data = text.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    bounds = np.frombuffer(offsets, np.int64)[: len(text) + 1]
     raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8)
     at = np.flatnonzero(raw == 0x20)
     at = at[(at >= bounds[0] + 2) & (at + 1 < len(raw))]
     before, after = raw[at - 1], raw[at + 1]
     ok = (_ASCII[before] | ((before >= 0x80) & _LEAD[raw[at - 2]])) & (_ASCII[after] | _LEAD[after])
-    cuts = np.union1d(at[ok], bounds)
+    marks = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1 if len(raw) else at[:0]
+    cuts = np.sort(np.concatenate((at[ok], marks, bounds)))  # np.unique would hash, which is slower here
+    cuts = cuts[np.concatenate(([True], cuts[1:] != cuts[:-1]))]
     starts = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(cuts, bounds)))
     if len(cuts) < 2:
         return np.zeros(0, np.int64), pa.array([], pa.large_string())
@@ -111,10 +130,9 @@ def distinct_pretokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokenizer.of(tokenizer)
         for batch in batches:
-            for part in slices(batch):
-                _, code, n, names = pre.counts(part.column("text"))
-                total = np.bincount(code, weights=n, minlength=len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"pretoken": pa.array(names, pa.string()), "n": pa.array(total)})
+            for part in slices(batch, size=SLICE):
+                _, code, names = pre.tokens(part.column("text"))
+                yield pa.RecordBatch.from_pydict({"pretoken": names.cast(pa.string()), "n": pa.array(np.bincount(code, minlength=len(names)))})
 
     return docs.select("text").mapInArrow(cut, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
 
@@ -141,26 +159,29 @@ def token_counts(docs: DataFrame, tokenizer: str, hot: int = HOT) -> DataFrame:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, table = PreTokenizer.of(tokenizer), known.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 text = part.column("text")
-                row, code, n, names = pre.counts(text)
-                pieces = np.fromiter((table.get(x, 0) for x in names), np.int64, len(names))
+                row, code, names = pre.tokens(text)
+                pieces = np.fromiter((table.get(x, 0) for x in names.to_pylist()), np.int64, len(names))
                 size = len(text)
-                sums = np.bincount(row, weights=n * pieces[code] if len(code) else None, minlength=size).astype(np.int64)
-                rest = pieces[code] == 0 if len(code) else np.zeros(0, bool)
+                each = pieces[code]
+                sums = np.bincount(row, weights=each, minlength=size).astype(np.int64)
+                other = each == 0
+                keys, n = np.unique(row[other] * max(1, len(names)) + code[other], return_counts=True)
+                row, code = keys // max(1, len(names)), keys % max(1, len(names))
                 ids = part.column("_row")
                 # A row per document: no pre-token has a NUL before letters, so this key joins with nothing.
                 own = pa.array([f"\0row{i}" for i in ids.to_pylist()], pa.string())
-                tail = pa.array(names, pa.string()).take(pa.array(code[rest]))
-                take = pa.array(row[rest])
-                empty = pa.nulls(int(rest.sum()), pa.int64())
+                tail = names.cast(pa.string()).take(pa.array(code))
+                take = pa.array(row)
+                empty = pa.nulls(len(row), pa.int64())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "_row": pa.concat_arrays([ids, ids.take(take)]),
                         "doc_id": pa.concat_arrays([part.column("doc_id"), empty]),
                         "n_bytes": pa.concat_arrays([pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()), empty]),
                         "pretoken": pa.concat_arrays([own, tail]),
-                        "n": pa.array(np.concatenate((sums, n[rest]))),
+                        "n": pa.array(np.concatenate((sums, n))),
                     }
                 )
 
