@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, frames, lines, near_dup, packing, substrings, token_counts
+from logmill.llm import decontaminate, frames, lines, near_dup, packing, pitman_yor, rules, substrings, token_counts
+from logmill.llm.storage import materialize
 from logmill.llm.tokenize import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -17,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_corpus(table(spark, sf_dir, "documents"))
+
+
+def op2_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = materialize(rules.with_stats(docs).select("doc_id", "_stats"), "rule-stats")
+    learned = rules.fit(stats, table(spark, sf_dir, "labels"))
+    s = F.col("_stats")
+    failed = rules.base_failed(s)
+    return stats.select("doc_id", *(s[n].alias(n) for n in rules.STATS), failed.alias("base_failed"), (~failed & learned.keeps(rules.features(s))).alias("kept"))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = frames.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
     return frames.read_shards(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -65,6 +79,8 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor_scores": op1_pitman_yor_scores,
+    "op2_decision_list_rules": op2_decision_list_rules,
     "op3_token_frames": op3_token_frames,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_decontamination": op5_suffix_array_decontamination,
