@@ -1,16 +1,46 @@
-"""A corpus pipeline of the training-data operators; every stage works on what the one before kept."""
+"""A corpus pipeline of the training-data operators; every stage works on what the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``; the last
+returns a row per packed piece.  ``run`` writes each stage's result below the
+shared folder and reads it back, as a production job would.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logmill.llm import packing
+from logmill.llm import decontaminate, lines, near_dup, packing, rules
 from logmill.llm.storage import materialize
 from logmill.llm.tokenize import tokenizer_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    judged, _ = rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("_kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated three-line windows go; ``n_chars`` follows the text."""
+    kept = lines.remove_repeated_windows(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (similarity 0.8 or more) stays."""
+    return near_dup.keep_one(docs, threshold=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark passages go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens; a row per piece."""
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), 4096)
@@ -18,10 +48,14 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
     ("best-fit packing", best_fit_packing),
 ]
 
-#: SQL cannot express the learned rules, the near-duplicate bands and the packing.
+#: SQL cannot express the learned rules, the near-duplicate search and the packing.
 ORACLE_SQL: str | None = None
 
 
