@@ -3,8 +3,9 @@
 A document's set holds its distinct shingles of five lower-cased words (fewer
 words: the whole sequence).  Each of 50 hash functions gives two signature
 values, the least and the greatest hash of the set, so 100 values cost 50
-evaluations per shingle.  20 bands of 5 values propose candidates; a pair at the
-threshold of 0.85 shares no band with a chance of about 8 in a million.
+evaluations per shingle.  Bands of values propose candidates, as long as a pair at
+the threshold shares no band with a chance of 1 in 100,000 at most: 20 bands of 5
+for a similarity of 0.85, 25 of 4 for 0.8.
 
 1. Documents with equal sets (a 128-bit digest) form a class; from here on only
    one document stands for it, however many copies there are.
@@ -39,13 +40,22 @@ from logmill.llm.storage import materialize
 from logmill.llm.substrings import keyed
 
 SHINGLE, THRESHOLD = 5, 85
-BANDS, ROWS = 20, 5
+VALUES, MISS = 100, 1e-5
 #: Shingles of a group that one task takes.
 LOCAL = 2_000_000
 #: Classes that a round of a larger group compares, per group.
 ROUND = 128
 
 
+def banding(threshold: int, values: int = VALUES) -> tuple[int, int]:
+    """``(bands, rows)`` with the most rows that keep the chance to miss a pair at the threshold below ``MISS``."""
+    for rows in range(16, 1, -1):
+        bands = values // rows
+        if (1 - (threshold / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    return values, 1
+
+
 def shingle_sets(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, bounds)``: the sorted distinct shingle hashes of each text."""
     words = split_words(text, lower=True)
@@ -65,7 +75,7 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return value, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def signatures(value: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def signatures(value: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band hashes (texts x bands) of min-max signatures; rows of empty sets mean nothing."""
     half = -(-bands * rows // 2)
     rng = np.random.default_rng(20_240_601)
@@ -95,20 +105,21 @@ def signatures(value: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``_key, doc_id, n, d1, d2, bands`` per row of ``docs`` (doc_id, text)."""
+    bands, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 value, bounds = shingle_sets(part.column("text"))
-                band = signatures(value, bounds).view(np.int64)
+                band = signatures(value, bounds, bands, rows).view(np.int64)
                 with np.errstate(over="ignore"):
                     digest = []
                     for salt in (0x1234567, 0x89ABCDE):
                         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)))))
                         digest.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32)), pa.array(band.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel()))
                 yield pa.RecordBatch.from_pydict(
                     {"_key": part.column("_key"), "doc_id": part.column("doc_id"), "n": pa.array(np.diff(bounds)), "d1": pa.array(digest[0]), "d2": pa.array(digest[1]), "bands": lists}
                 )
@@ -198,7 +209,7 @@ def _grow_by_joins(members: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LOCAL) -> DataFrame:
     """``_key, doc_id, n_shingles, component_id`` per row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    sketch = materialize(sketches(docs), "sketches")
+    sketch = materialize(sketches(docs, threshold), "sketches")
     classes = materialize(
         sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("_key").alias("cls"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")),
         "classes",

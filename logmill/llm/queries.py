@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.llm import decontaminate, frames, lines, near_dup, packing, pitman_yor, rules, substrings, token_counts
+from logmill.llm import cotraining, decontaminate, frames, lines, near_dup, packing, pitman_yor, rules, substrings, token_counts
 from logmill.llm.storage import materialize
 from logmill.llm.tokenize import tokenizer_path
 
@@ -62,6 +62,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_min_max_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_decontamination": op5_suffix_array_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_min_max_near_dup": op9_min_max_near_dup,
     "op10_line_window_dedup": op10_line_window_dedup,
 }

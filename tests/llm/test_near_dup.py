@@ -57,10 +57,14 @@ def many_near_copies():
     return rows
 
 
-@pytest.mark.parametrize("local", [near_dup.LOCAL, 100])
-def test_brute_force(spark, docs, doc_rows, local):
-    got = near_dup.near_duplicates(docs, local=local).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(doc_rows)
+@pytest.mark.parametrize(("local", "threshold"), [(near_dup.LOCAL, 85), (near_dup.LOCAL, 80), (100, 85)])
+def test_brute_force(spark, docs, doc_rows, local, threshold):
+    got = near_dup.near_duplicates(docs, threshold, local).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(doc_rows, threshold)
+
+
+def test_banding():
+    assert near_dup.banding(85) == (20, 5) and near_dup.banding(80) == (25, 4)
 
 
 @pytest.mark.parametrize("local", [near_dup.LOCAL, 1000])
