@@ -115,7 +115,9 @@ def aggregates(fmt: LogFormat, store_content: bool = False, streaming: bool = Fa
             out.append(AGGREGATORS[f.aggregation](x, f).alias(f"a{i}"))
     out += [F.sum(f"f{i}").alias(f"s{i}") for i in _ratio_inputs(fmt).values() if fmt.fields[i].type in ("int", "float") and not fmt.fields[i].is_ratio]
     # What no aggregation combines is the first row's, by order in the source.
-    out.append((F.min(F.struct(ORDER, *first)) if streaming else F.min_by(F.struct(*first), ORDER)).alias("_first"))
+    # A stream has no such order: there it is the least row.
+    rank = F.struct(*(c for i, c in enumerate(first) if i != 1)) if streaming else F.col(ORDER)
+    out.append(F.min_by(F.struct(*first), rank).alias("_first"))
     if store_content:
         lines = F.transform(F.sort_array(F.collect_list(F.struct(ORDER, LINE))), lambda s: s[LINE])
         out.append(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))

@@ -6,6 +6,7 @@ facade is for SQL users who want tokens as columns of a view.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,7 +57,7 @@ class LogReader(DataSourceReader):
 
         uri = part.path
         store, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-        with store.open_input_file(path) as raw:
+        with io.BufferedReader(store.open_input_file(path), 1 << 20) as raw:
             at = part.start
             if at:
                 raw.seek(at - 1)
