@@ -96,4 +96,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_window_dedup": op10_line_window_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The patterns of words in the contracts.
+_SPACE_WORD, _LETTER_WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM benchmark),
+iw AS (SELECT item, least(13, len(w)) AS size, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM iw),
+sizes AS (SELECT DISTINCT size FROM windows),
+dw AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT dw.r, dw.i, dw.size, item FROM dw JOIN windows x ON x.size = dw.size AND x.k = array_to_string(dw.w[dw.i : dw.i + dw.size - 1], ' ')),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r)
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS k FROM starts),
+repeated AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (k)),
+words AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.r, string_agg(w[words.p], ' ' ORDER BY words.p) AS t, count(*) AS n FROM words ANTI JOIN gone ON gone.r = words.r AND gone.p = words.p GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_SPACE_WORD}') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.r = p.a JOIN sizes y ON y.r = p.b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS r, a AS s FROM both_ways UNION SELECT reach.r, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.s),
+names AS (SELECT reach.r, min(d.doc_id) AS name FROM reach JOIN d ON d.r = reach.s GROUP BY reach.r)
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(name, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(name, doc_id) AS kept
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN names USING (r)
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d WHERE text IS NOT NULL),
+full_lines AS (SELECT r, doc_id, p, l[p] AS x, row_number() OVER (PARTITION BY r ORDER BY p) AS k FROM lines WHERE regexp_matches(l[p], '[^\x20\x09-\x0D]')),
+windows AS (SELECT a.doc_id, a.r, a.k, a.p AS p1, b.p AS p2, c.p AS p3, a.x || chr(10) || b.x || chr(10) || c.x AS w
+  FROM full_lines a JOIN full_lines b ON b.r = a.r AND b.k = a.k + 1 JOIN full_lines c ON c.r = a.r AND c.k = a.k + 2),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest([p1, p2, p3]) AS p FROM later),
+kept AS (SELECT lines.r, string_agg(l[lines.p], chr(10) ORDER BY lines.p) AS t FROM lines ANTI JOIN gone ON gone.r = lines.r AND gone.p = lines.p GROUP BY lines.r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
+#: The other operators have no SQL: learned models (1, 2, 8) and library tokenizers (3, 4, 6).
+ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_array_decontamination": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op9_min_max_near_dup": OP9_SQL,
+    "op10_line_window_dedup": OP10_SQL,
+}
