@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def split_simple(text: Column, delims: str) -> Column:
 
 
 def chomp(text: Column) -> Column:
-    """Without white space at the ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without (ASCII) white space at the ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def words(text: Column) -> Column:
@@ -63,12 +64,20 @@ def to_float(token: Column) -> Column:
 
 
 def fold_key(parts: Sequence[Column], appname: str = "") -> Column:
-    """Join key parts with ``_``; while the key is still empty nothing goes before the next part."""
-    if parts:
-        key = F.aggregate(F.array(*parts), F.lit(""), lambda a, t: F.when(a == "", t).otherwise(F.concat(a, F.lit("_"), t)))
-    else:
-        key = F.lit("")
-    return F.concat(key, F.lit("_" + appname)) if appname else key
+    """Join key parts with ``_``; while the key is still empty nothing goes before the next part.
+
+    Plain concatenation, so it stays inside generated code: a separator appears once
+    any earlier part has text.
+    """
+    pieces: list[Column] = []
+    for k, part in enumerate(parts):
+        if k:
+            begun = reduce(lambda a, b: a | b, (p != "" for p in parts[:k]))
+            pieces.append(F.when(begun, F.lit("_")).otherwise(F.lit("")))
+        pieces.append(part)
+    if appname:
+        pieces.append(F.lit("_" + appname))
+    return F.concat(*pieces) if pieces else F.lit("")
 
 
 def shift_letters(text: Column, by: int = 5) -> Column:

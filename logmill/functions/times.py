@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logmill.functions.text import chomp, split_simple, to_int
+from logmill.functions.text import chomp, to_int
 
 #: Strptime directive -> (Spark pattern, regular expression).
 DIRECTIVES = {
@@ -43,6 +43,10 @@ def translate_format(fmt: str) -> tuple[str, str]:
     return pattern, regex
 
 
+#: Three parts between runs of colons.
+_CLOCK = r"^:*([^:]+):+([^:]+):+([^:]+):*$"
+
+
 def parse_date(token: Column, fmt: str) -> Column:
     """Timestamp of a token, or null; text after the date is ignored; ``unix`` is seconds since 1970 (UTC)."""
     if fmt == "unix":
@@ -85,12 +89,11 @@ def bucket_date(token: Column, processing: str, fmt: str, width: int = 1) -> Col
 def bucket_time(token: Column, processing: str, width: int = 1) -> Column:
     """Bucket of an ``H:M:S`` token; other tokens stay."""
     token = chomp(token)
-    parts = split_simple(token, ":")
-    part = [F.get(parts, F.lit(i)) for i in range(3)]
+    part = [F.regexp_extract(token, _CLOCK, k) for k in (1, 2, 3)]  # empty unless there are three parts
     if processing == "hour":
         out = _two(_floor(to_int(part[0]), width))
     elif processing == "minute":
         out = F.concat(part[0], F.lit(":"), _two(_floor(to_int(part[1]), width)))
     else:
         out = F.concat(part[0], F.lit(":"), part[1], F.lit(":"), _two(_floor(to_int(part[2]), width)))
-    return F.when(F.size(parts) == 3, out).otherwise(token)
+    return F.when(part[0] != "", out).otherwise(token)

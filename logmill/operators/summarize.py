@@ -16,10 +16,15 @@ from logmill.sources.text import FILE, LINE, ORDER
 
 
 def tokenize(lines: DataFrame, fmt: LogFormat) -> DataFrame:
-    """Add ``tokens`` and drop lines with too few of them (``observe`` a source to count those)."""
-    if "tokens" not in lines.columns:
-        lines = lines.withColumn("tokens", tokens(F.col(LINE), fmt.delims, fmt.quotechar, fmt.keep_empty))
-    return lines.where(F.size("tokens") > fmt.max_pos)
+    """Add ``tokens`` and drop lines with too few of them (``malformed`` has those).
+
+    Unfolding a list of none or one keeps the check above the tokenising: a filter
+    would be pushed below it and tokenise every line once more.
+    """
+    if "tokens" in lines.columns:
+        return lines.where(F.size("tokens") > fmt.max_pos)
+    found = F.array(tokens(F.col(LINE), fmt.delims, fmt.quotechar, fmt.keep_empty))
+    return lines.withColumn("tokens", F.explode(F.filter(found, lambda t: F.size(t) > fmt.max_pos)))
 
 
 def malformed(lines: DataFrame, fmt: LogFormat) -> DataFrame:
@@ -124,16 +129,28 @@ def aggregates(fmt: LogFormat, store_content: bool = False, streaming: bool = Fa
     return out
 
 
-def _union_counts(rows: DataFrame, fmt: LogFormat, by_file: bool) -> DataFrame | None:
-    """Values with their counts per key, grouped in two levels: first by value, so no list of all values is built."""
-    which = [i for i, f in enumerate(fmt.fields) if f.aggregated and f.aggregation == "union_count" and not f.key]
-    if not which:
-        return None
+def union_count_fields(fmt: LogFormat) -> list[int]:
+    return [i for i, f in enumerate(fmt.fields) if f.aggregated and f.aggregation == "union_count" and not f.key]
+
+
+def _group_with_counts(rows: DataFrame, fmt: LogFormat, by_file: bool, plain: list[Column]) -> DataFrame:
+    """Group once over the source where values are counted as well.
+
+    Each row unfolds into itself and its values; a first grouping by key and value
+    does all plain aggregates and the counts, a second brings a key's rows together.
+    So lines are parsed once, and no key gathers more than its distinct values.
+    """
+    which = union_count_fields(fmt)
     names = ["_group", *([FILE] if by_file else [])]
-    values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"f{i}").cast("string").alias("v")) for i in which)))
-    counted = rows.select(*group_columns(fmt, by_file), values.alias("x")).where("x.v is not null").groupBy(*names, "x.i", "x.v").agg(F.count(F.lit(1)).alias("c"))
-    pairs = lambda i: F.sort_array(F.collect_list(F.when(F.col("i") == i, F.struct("v", "c")))).alias(f"l{i}")
-    return counted.groupBy(*names).agg(*(pairs(i) for i in which))
+    slots = [F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("v")), *(F.struct(F.lit(i).alias("i"), F.col(f"f{i}").cast("string").alias("v")) for i in which)]
+    wide = rows.select(*group_columns(fmt, by_file), *(c for c in rows.columns if c != FILE), F.explode(F.array(*slots)).alias("_x")).where("_x.i < 0 or _x.v is not null")
+    own = F.col("_x.i") < 0
+    # Plain aggregates see the row itself only.
+    hidden = wide.select(*names, "_x", *(F.when(own, F.col(c)).alias(c) for c in rows.columns if c != FILE))
+    first = hidden.groupBy(*names, F.col("_x.i").alias("i"), F.col("_x.v").alias("v")).agg(*plain)
+    pairs = lambda i: F.sort_array(F.collect_list(F.when(F.col("i") == i, F.struct("v", F.col("logs").alias("c"))))).alias(f"l{i}")
+    others = [c for c in first.columns if c not in (*names, "i", "v")]
+    return first.groupBy(*names).agg(*(F.first(F.when(F.col("i") < 0, F.col(c)), ignorenulls=True).alias(c) for c in others), *(pairs(i) for i in which))
 
 
 def _pairs_of(values: Column) -> Column:
@@ -148,7 +165,9 @@ def derive(grouped: DataFrame, fmt: LogFormat, by_file: bool = False, streaming:
     replaces the key there; ``_key`` always has it.
     """
     value: dict[int, Column] = {}
-    out: dict[str, Column] = {"id": F.col("_first.key")}
+    # Without folding letter case the group is the key; then nothing need be remembered of first rows.
+    key = F.col("_first.key") if fmt.ignore_case else F.col("_group")
+    out: dict[str, Column] = {"id": key}
     sums = _ratio_inputs(fmt)
 
     def operand(name: str) -> Column:
@@ -178,7 +197,7 @@ def derive(grouped: DataFrame, fmt: LogFormat, by_file: bool = False, streaming:
         out["extra"] = F.col("_first.extra")
     if fmt.appname:
         out["appname"] = F.lit(fmt.appname)
-    out |= {"logs": F.col("logs"), "format_name": F.lit(fmt.format_name), "std_date_dt": standard_date(fmt, value), "_key": F.col("_first.key")}
+    out |= {"logs": F.col("logs"), "format_name": F.lit(fmt.format_name), "std_date_dt": standard_date(fmt, value), "_key": key}
     out |= {f"_{c}": F.col(c) for c in (FILE, "content") if c in grouped.columns and (c != FILE or by_file)}
     return grouped.select(*(c.alias(n) for n, c in out.items()))
 
@@ -208,10 +227,7 @@ def prepare(lines: DataFrame, fmt: LogFormat) -> DataFrame:
 
 def summarize(lines: DataFrame, fmt: LogFormat, by_file: bool = False, store_content: bool = False) -> DataFrame:
     """The whole query over a batch source, a row per key (and file)."""
-    rows = prepare(lines, fmt)
-    names = ["_group", *([FILE] if by_file else [])]
-    grouped = rows.groupBy(*group_columns(fmt, by_file)).agg(*aggregates(fmt, store_content))
-    counts = _union_counts(rows, fmt, by_file)
-    if counts is not None:
-        grouped = grouped.join(counts, names, "left")
-    return derive(grouped, fmt, by_file)
+    rows, plain = prepare(lines, fmt), aggregates(fmt, store_content)
+    if union_count_fields(fmt):
+        return derive(_group_with_counts(rows, fmt, by_file, plain), fmt, by_file)
+    return derive(rows.groupBy(*group_columns(fmt, by_file)).agg(*plain), fmt, by_file)
