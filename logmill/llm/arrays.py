@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -23,6 +24,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        give_back()
+
+
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and their share of an executor is small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 class Words:

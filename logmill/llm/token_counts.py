@@ -36,7 +36,7 @@ ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t
 #: Units that are one pre-token as they are: a word of Latin letters or a run of ASCII marks, after a space or not.
 SINGLE = r"^ ?(?:[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+|[!-&(-/:-@\[-`{-~]+)$"
 #: Bytes of text at a time: distinct units take many times their size.
-SLICE = 6 << 20
+SLICE = 4 << 20
 
 
 class PreTokenizer:

@@ -19,7 +19,9 @@ from logmill.llm.arrays import flat_text, gather_runs, run_sums, split_words
 
 END_ID = 1
 #: A worker adds words to those whose ids it remembers until it has so many.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Words per library call: its result objects are large.
+CALL_WORDS = 16_384
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -56,8 +58,8 @@ class WordEncoder:
         found = [cache.get(w) for w in names]
         missing = [w for w, b in zip(names, found) if b is None]
         if missing:
-            coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            new = iter([np.array(e.ids, np.uint32).tobytes() for e in coded])
+            calls = (missing[a : a + CALL_WORDS] for a in range(0, len(missing), CALL_WORDS))
+            new = (np.array(e.ids, np.uint32).tobytes() for c in calls for e in self.tokenizer.encode_batch_fast(c, add_special_tokens=False))
             found = [next(new) if b is None else b for b in found]
             if len(cache) < CACHE_WORDS:
                 cache.update(zip(names, found))
