@@ -1,8 +1,9 @@
 """A hierarchical Pitman-Yor language model over words, and its scores of texts.
 
 Every token is drawn in the restaurant of its context, one of 64: the start of a
-text, one of 62 classes of short words (three bytes at most, where the frequent
-function words are; a hash picks the class), or any longer word.  The context
+text, one of the 62 most frequent training words before it, or any other word
+before it.  The frequent words are found by a count that leaves out words rarer
+than 1 in 20,000 in a slice of texts.  The context
 restaurants share one parent, the unigram restaurant, whose own base is diffuse:
 a draw from it is always a word never seen, and all unseen words are one event.
 So the model is normalised over the distinct training tokens and that event.
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import flat_text, gather_runs, hash_words, mix, run_sums, slices, split_words, uniform
+from logmill.llm.arrays import gather_runs, hash_words, mix, run_sums, slices, split_words, uniform
 from logmill.llm.frequent import frequent
 from logmill.llm.storage import materialize
 
-CONTEXTS, START, LONG = 64, 0, 63
+CONTEXTS, START, OTHER = 64, 0, 63
+#: Words rarer than this in a slice cannot become contexts through it.
+RARE = 1 / 20_000
 STRENGTH = 1.0
 #: Frequent words whose probabilities every scoring task holds: a fixed bound.
 HOT = 32_768
@@ -50,13 +53,32 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(codes, contexts, bounds, hashes)``: token ``i`` is ``hashes[codes[i]]`` after ``contexts[i]``."""
+def context_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words of (text), ascending; as many as there are contexts for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, size=8 << 20):
+                words = split_words(part.column("text"), lower=True)
+                n = np.bincount(words.codes, minlength=len(words.names))
+                often = np.flatnonzero(n > RARE * len(words.codes))
+                hashes = hash_words([words.names[i] for i in often.tolist()])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(hashes.view(np.int64)), "n": pa.array(n[often])})
+
+    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "h").limit(OTHER - START - 1).collect()
+    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def tokens_of(text: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, contexts, bounds, hashes)``: token ``i`` is ``hashes[codes[i]]`` after ``contexts[i]``; ``known`` has the context words."""
     words = split_words(text, lower=True)
     rows = len(words.bounds) - 1
     hashes = np.append(hash_words(words.names), END_HASH)
-    short = np.array([len(w.encode()) <= 3 for w in words.names] + [False], bool)
-    own = np.where(short, 1 + (hashes % np.uint64(LONG - 1)).astype(np.int64), LONG)
+    own = np.full(len(hashes), OTHER, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        own = np.where(known[at] == hashes, START + 1 + at, OTHER)
     bounds = words.bounds + np.arange(rows + 1)
     codes = np.full(int(bounds[-1]), len(words.names), np.int64)
     if len(words.codes):
@@ -67,13 +89,13 @@ def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, contexts, bounds, hashes
 
 
-def count_cells(docs: DataFrame) -> DataFrame:
+def count_cells(docs: DataFrame, known: np.ndarray) -> DataFrame:
     """``h, ctx, c``: per word the contexts it follows and how often, ascending; from (text) of training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, size=12 << 20):
-                codes, contexts, _, hashes = tokens_of(part.column("text"))
+            for part in slices(batch, size=8 << 20):
+                codes, contexts, _, hashes = tokens_of(part.column("text"), known)
                 keys, n = np.unique(codes * CONTEXTS + contexts, return_counts=True)
                 yield pa.RecordBatch.from_pydict(
                     {"h": pa.array(hashes[keys // CONTEXTS].view(np.int64)), "u": pa.array((keys % CONTEXTS).astype(np.int32)), "n": pa.array(n)}
@@ -259,11 +281,13 @@ class Fitted:
 
     posterior: Posterior
     words: DataFrame
+    contexts: np.ndarray
 
 
 def fit(docs: DataFrame, rounds: int = 2, sweeps: int = 2, samples: int = 3, seed: int = 17) -> Fitted:
     """Learn from all rows of ``docs`` (text). ``rounds`` bring the shared totals up to date before the samples."""
-    cells = materialize(count_cells(docs), "lm-cells")
+    known = context_words(docs)
+    cells = materialize(count_cells(docs, known), "lm-cells")
     model = _totals(cells)
     for number in range(rounds):
 
@@ -293,7 +317,7 @@ def fit(docs: DataFrame, rounds: int = 2, sweeps: int = 2, samples: int = 3, see
             x = Cells.of(batch)
             yield _sums(x, _samples_of(batch, x, samples))
 
-    return Fitted(Posterior(model, _tables(words.mapInArrow(add, "s int, u int, t long"), samples)), words)
+    return Fitted(Posterior(model, _tables(words.mapInArrow(add, "s int, u int, t long"), samples)), words, known)
 
 
 def _samples_of(batch: pa.RecordBatch, x: Cells, samples: int) -> np.ndarray:
@@ -319,7 +343,7 @@ def score(docs: DataFrame, fitted: Fitted, hot: int = HOT) -> DataFrame:
     Frequent words meet their probabilities in the scanning task; the others are
     counted per text and context and joined to the word table.
     """
-    spark, posterior = docs.sparkSession, fitted.posterior
+    spark, posterior, context = docs.sparkSession, fitted.posterior, fitted.contexts
     samples, n_train, v = len(posterior.tables), float(posterior.model.customers.sum()), posterior.model.words
     norm = n_train + 0.5 * (v + 1)
     back_off = posterior.back_off
@@ -343,8 +367,8 @@ def score(docs: DataFrame, fitted: Fitted, hot: int = HOT) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base, logs = sent.value
         for batch in batches:
-            for part in slices(batch, size=12 << 20):
-                codes, contexts, bounds, names = tokens_of(flat_text(part.column("text")))
+            for part in slices(batch, size=8 << 20):
+                codes, contexts, bounds, names = tokens_of(part.column("text"), context)
                 at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
                 is_hot = known[at] == names if len(known) else np.zeros(len(names), bool)
                 here = is_hot[codes]
