@@ -64,35 +64,69 @@ def _named(kind: str, values: np.ndarray) -> np.ndarray:
     return hash_words([f"\0{kind}\0{v}" for v in values.tolist()])
 
 
+#: Thresholds of the shape features: a text has one for each that its value reaches.
+SHAPE = {
+    "marks": (0.2, 0.35, 0.5, 1.0, 2.0),
+    "capitals": (0.75, 1.5, 2.5, 4.0),
+    "digits": (0.25, 0.5, 1.0, 2.0),
+    "repeats": (0.1, 0.2, 0.4, 0.6, 0.8),
+    "repeated pairs": (0.1, 0.2, 0.4, 0.6, 0.8),
+    "word length": (6.0, 7.0, 8.0, 10.0),
+}
+#: Words that a text needs for its shape to mean something.
+LEAST_WORDS = 12
+
+
+def _fresh(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether a position is the first of its value in its row."""
+    order = np.lexsort((np.arange(len(row)), value, row))
+    r, v = row[order], value[order]
+    out = np.ones(len(row), bool)
+    out[order[1:]] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+    return out
+
+
 def text_features(text: pa.Array) -> Sparse:
-    """Distinct lower-cased words without marks at their ends, and buckets of the text's shape."""
+    """Distinct lower-cased words without marks around them, and the shape of the text."""
     raw_text = flat_text(text)
     rows = len(raw_text)
     plain = split_words(pc.utf8_lower(pc.replace_substring_regex(raw_text, r"[!-/:-@\[-`{-~]+", " ")))
     words = split_words(raw_text)
-    n = np.maximum(np.diff(words.bounds), 1)
+    count = np.diff(words.bounds)
+    n = np.maximum(count, 1)
     _, offsets, data = raw_text.buffers()
     ends = np.frombuffer(offsets, np.int64)[: rows + 1] if rows else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
 
-    def share(low: int, high: int) -> np.ndarray:
-        return run_sums((raw >= low) & (raw <= high), ends) / n
-
-    pairs = np.sort(words.doc * max(1, len(words.names)) + words.codes)
-    fresh = np.concatenate(([True], pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, bool)
-    distinct = run_sums(fresh, words.bounds) / n
-    size = np.floor(np.log2(n)).astype(np.int64)
-    marks = share(0x21, 0x2F) + share(0x3A, 0x40) + share(0x5B, 0x60) + share(0x7B, 0x7E)
-    shape = [
-        _named("size", size),
-        _named("marks", np.minimum(np.floor(4 * marks), 40).astype(np.int64)),
-        _named("capitals", np.minimum(np.floor(4 * share(0x41, 0x5A)), 40).astype(np.int64)),
-        _named("digits", np.minimum(np.floor(4 * share(0x30, 0x39)), 40).astype(np.int64)),
-        _named("length", np.minimum(np.floor(np.diff(ends) / n), 40).astype(np.int64)),
-        _named("distinct", size * 100 + np.floor(10 * distinct).astype(np.int64)),
-    ]
-    row = np.concatenate([plain.doc, *([np.arange(rows)] * len(shape))])
-    return _rows(row, np.concatenate([plain.hashes(), *shape]), rows, TEXT_BITS)
+    def share(*ranges: tuple[int, int]) -> np.ndarray:
+        inside = np.zeros(256, bool)
+        for low, high in ranges:
+            inside[low : high + 1] = True
+        return run_sums(inside[raw], ends) / n
+
+    doc, codes = words.doc, words.codes
+    # A word is repeated if it is one of the two before it; a pair if the text has had it.
+    again = np.zeros(len(codes), bool)
+    for k in (1, 2):
+        again[k:] |= (codes[k:] == codes[:-k]) & (doc[k:] == doc[:-k])
+    pair_doc = doc[1:][doc[1:] == doc[:-1]]
+    pair = (codes[:-1] * max(1, len(words.names)) + codes[1:])[doc[1:] == doc[:-1]]
+    old = np.bincount(pair_doc, weights=~_fresh(pair_doc, pair), minlength=rows)
+    shape = {
+        "marks": share((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)),
+        "capitals": share((0x41, 0x5A)),
+        "digits": share((0x30, 0x39)),
+        "repeats": run_sums(again, words.bounds) / n,
+        "repeated pairs": old / n,
+        "word length": share((0x21, 0x7E), (0xC0, 0xFF)),
+    }
+    row, value = [plain.doc], [plain.hashes()]
+    for name, v in shape.items():
+        for t in SHAPE[name]:
+            at = np.flatnonzero((count >= LEAST_WORDS) & (v >= t))
+            row.append(at)
+            value.append(np.repeat(hash_words([f"\0{name}\0{t}"]), len(at)))
+    return _rows(np.concatenate(row), np.concatenate(value), rows, TEXT_BITS)
 
 
 def meta_features(columns: dict[str, pa.Array]) -> Sparse:
