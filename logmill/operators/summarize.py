@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logmill.functions.exploders import EXPLODERS
@@ -27,6 +27,12 @@ def tokenize(lines: DataFrame, fmt: LogFormat) -> DataFrame:
     return lines.withColumn("tokens", F.explode(F.filter(found, lambda t: F.size(t) > fmt.max_pos)))
 
 
+def observed(lines: DataFrame, fmt: LogFormat, observation: Observation) -> DataFrame:
+    """The same lines; ``observation`` then tells ``lines`` and ``malformed`` of the query that reads them."""
+    short = F.size(tokens(F.col(LINE), fmt.delims, fmt.quotechar, fmt.keep_empty)) <= fmt.max_pos
+    return lines.observe(observation, F.count(F.lit(1)).alias("lines"), F.count_if(short).alias("malformed"))
+
+
 def malformed(lines: DataFrame, fmt: LogFormat) -> DataFrame:
     """The lines that ``tokenize`` drops."""
     return lines.where(F.size(tokens(F.col(LINE), fmt.delims, fmt.quotechar, fmt.keep_empty)) <= fmt.max_pos)

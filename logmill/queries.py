@@ -19,7 +19,8 @@ from logmill.operators.summarize import summarize, tokenize
 from logmill.operators.top import top_keys, totals
 from logmill.plans.spec import LogFormat, load_format
 from logmill.sinks.render import csv_frame, json_lines, text_lines
-from logmill.sources.text import lines_of_table, tokens_of_table
+from logmill.sources.binary import random_words
+from logmill.sources.text import lines_of_table, read_lines, tokens_of_table
 from logmill.streaming.incremental import start_to_table, summarize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,6 +545,69 @@ def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
 
 
+@query("random_words_index", "SELECT CAST(20000 AS BIGINT) AS positions, CAST(true AS BOOLEAN) AS all_short")
+def random_words_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Self-check of the generator and the index: every generated word is found once."""
+    found = kernels.word_positions(random_words(spark, 20_000), "doc")
+    return found.agg(F.count(F.lit(1)).alias("positions"), (F.max(F.length("word")) == 3).alias("all_short"))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as two kinds of text files with a header, comments and blank lines, below the shared folder."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='logmill-logs-')}"
+    folder = f"{root.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey")
+    row = F.concat_ws(",", F.col("o_orderstatus"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(',x"')), F.col("o_orderkey").cast("string"))
+    noise = F.when(F.col("o_orderkey") % 5 == 0, F.lit("# a comment")).when(F.col("o_orderkey") % 7 == 0, F.lit("   ")).otherwise(F.lit("bad line"))
+    lines = orders.select(F.explode(F.array(row, noise)).alias("value"))
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            values = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": pa.array((["status,priority,order"] if first else []) + values, pa.string())})
+            first = False
+
+    lines.mapInArrow(with_header, "value string").write.text(folder)
+    return folder
+
+
+_FILE_FIELDS = (_key("status", 0), _field("priority", 1, "string", "union_count"), _field("orders", 2, "int", "sum"))
+
+
+@query(
+    "text_files",
+    """WITH c AS (SELECT o_orderstatus AS id, o_orderpriority || ',x' AS p, count(*) AS c, sum(o_orderkey) AS s FROM orders GROUP BY ALL)
+    SELECT id, string_agg(p || ':' || CAST(c AS VARCHAR), ';' ORDER BY p) AS priorities, sum(s)::BIGINT AS orders, sum(c)::BIGINT AS logs FROM c GROUP BY 1""",
+)
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through real files: headers, comments, blank and malformed lines are left out, quoted fields stay whole."""
+    lines = read_lines(spark, _log_files(spark, sf_dir), header=True, comment="#")
+    fmt = load_format({"format_name": "files", "delims": ",", "quotechar": '"', "commentchar": "#", "fields": list(_FILE_FIELDS)})
+    out = summarize(lines, fmt)
+    pairs = F.array_join(F.zip_with("priority", "priority_count", lambda k, c: F.concat(k, F.lit(":"), c.cast("string"))), ";")
+    return out.select("id", pairs.alias("priorities"), "orders", "logs")
+
+
+@query("data_source", "SELECT o_orderstatus AS status, o_orderpriority || ',x' AS priority, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files through ``spark.read.format("logmill")``."""
+    import json
+
+    from logmill.sources.datasource import LogSource
+
+    spark.dataSource.register(LogSource)
+    folder = _log_files(spark, sf_dir)
+    files = [r[0] for r in spark.read.format("binaryFile").load(folder).select("path").collect()]
+    fmt = {"format_name": "files", "delims": ",", "quotechar": '"', "commentchar": "#", "fields": list(_FILE_FIELDS)}
+    df = spark.read.format("logmill").options(format=json.dumps(fmt), header="true").load(",".join(files))
+    return df.groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows-only: the whole iteration has no SQL."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("point"))

@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 
-from logmill.operators.summarize import malformed, summarize
+from logmill.operators.summarize import malformed, observed, summarize
 from logmill.operators.top import top_keys, totals
 from logmill.plans.spec import load_format
 from logmill.sinks.render import json_lines
@@ -121,6 +122,9 @@ def test_malformed_first_appname_content(spark):
     r = summarize(source, f, store_content=True).collect()
     assert [(x._key, x.id, x.s, x.logs, x.appname, x._content) for x in r] == [("1_app", "1", "first", 2, "app", "1,a,first\n1,b,second\n")]
     assert malformed(source, f).count() == 1
+    seen = Observation("lines")
+    summarize(observed(source, f, seen), f).collect()
+    assert seen.get == {"lines": 3, "malformed": 1}
     second = [json.loads(x.value) for x in json_lines(summarize(source, f, store_content=True)).collect()][1]
     assert second == {"id": "1_app_content", "original_size": 21, "content": {"add": "1,a,first\n1,b,second\n"}}
 
