@@ -118,17 +118,32 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` and a row hash ``spread``."""
+    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` and a row hash ``spread``.
+
+    Only lengths are dealt to the groups; ids, if there are any, are joined again.
+    """
     pieces = materialize(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("spread", "piece"), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "spread")
+    whole = [f.name for f in pieces.schema if f.name not in ("spread", "ids")]
+    dealt = pieces.drop("ids").withColumn("_group", F.pmod(F.xxhash64("spread", "piece"), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "_group")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "spread", "piece"], ascending=[False, True, True], ignore_index=True)
         where, offset = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = (int(key[0]) << 32) + where
         rows["offset"] = offset
-        return rows.drop(columns=["spread", "_group"])
+        return rows.drop(columns=["_group"])
+
+    placed = dealt.groupBy("_group").applyInPandas(place, f"{schema}, sequence_id long, offset long")
+    if "ids" not in pieces.columns:
+        return placed.select(*whole, "sequence_id", "offset")
+    return placed.join(pieces.select("spread", "piece", "ids"), ["spread", "piece"]).select(*whole, "ids", "sequence_id", "offset")
+
 
-    return dealt.groupBy("_group").applyInPandas(place, f"{schema}, sequence_id long, offset long")
+def sequences(placed: DataFrame) -> DataFrame:
+    """``sequence_id, n_tokens, ids, doc_ids``: every sequence put together from packed pieces with ids."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "ids")))
+    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    grouped = placed.groupBy("sequence_id").agg(parts.alias("parts"), F.sum("length").alias("n_tokens"))
+    return grouped.select("sequence_id", "n_tokens", joined.alias("ids"), F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"))

@@ -79,7 +79,9 @@ def test_random_access_and_damage(tmp_path):
 
 def test_packing(docs, encoded):
     capacity = 64
-    pieces = packing.pack(packing.token_pieces(docs, WORD, capacity, with_ids=True), capacity, group=40).collect()
+    packed = packing.pack(packing.token_pieces(docs, WORD, capacity, with_ids=True), capacity, group=40)
+    whole = {r.sequence_id: (r.n_tokens, bytes(r.ids)) for r in packing.sequences(packed).collect()}
+    pieces = packed.collect()
     want = Counter()
     for d, b in encoded:
         for k, a in enumerate(range(0, len(b), 4 * capacity)):
@@ -89,12 +91,14 @@ def test_packing(docs, encoded):
     bins = defaultdict(list)
     for r in pieces:
         bins[r.sequence_id].append((r.offset, r.length))
+        assert whole[r.sequence_id][1][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids)
     for b in bins.values():
         at = 0
         for offset, length in sorted(b):
             assert offset == at
             at += length
         assert at <= capacity
+    assert {k: sum(n for _, n in b) for k, b in bins.items()} == {k: len(i) // 4 for k, (n, i) in whole.items()} == {k: n for k, (n, _) in whole.items()}
     assert packing.pack(packing.token_pieces(docs.where("false"), WORD)).count() == 0
 
 
