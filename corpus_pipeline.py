@@ -19,13 +19,12 @@ from logmill.llm.tokenize import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
-    judged, _ = rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("_kept").select(*docs.columns)
+    return rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; ``n_chars`` follows the text."""
-    kept = lines.remove_repeated_windows(docs).select(*docs.columns)
+    kept = lines.remove_repeated_windows(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

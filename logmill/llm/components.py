@@ -16,7 +16,7 @@ from logmill.llm.storage import discard, materialize
 
 def _to_least(edges: DataFrame) -> DataFrame:
     """``(v, m)`` for every ``(u, v)``, with ``m`` the least of ``u`` and its neighbours, plus ``(u, m)``."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     moved = edges.join(least, "u").select("v", "m")
     return moved.unionByName(least.select(F.col("u").alias("v"), "m"))
 

@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from logmill.llm.storage import fresh
 from logmill.llm.substrings import keyed
 
 WINDOW = 3
@@ -76,28 +78,30 @@ def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return ranked.where("h is null or rank > 1").select("_key", "at")
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rebuilt, plus ``_n_lines`` and ``_n_removed``."""
-    gone = later_windows(docs, width).groupBy("_key").agg(F.collect_set("at").alias("_gone"))
-    rows = keyed(docs).join(gone, "_key", "left").drop("_key")
+def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, counts: tuple[str, str] | None = None) -> DataFrame:
+    """All columns of ``docs`` with ``text`` rebuilt; ``counts`` names columns to add for its lines and those removed."""
+    key, cut = fresh(docs, "_key"), fresh(docs, "_gone")
+    gone = later_windows(docs, width).groupBy(F.col("_key").alias(key)).agg(F.collect_set("at").alias(cut))
+    rows = keyed(docs, key).join(gone, key, "left").drop(key)
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, removed = [], [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
+            for text, at in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
+                lost: set[int] = set()
                 n = 0 if text is None else text.count("\n") + 1
-                cut: set[int] = set()
                 if at:
                     numbers = [i for i, _ in _content_lines(text)]
-                    cut = {numbers[k] for a in at for k in range(a, a + width)}
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in cut)
+                    lost = {numbers[k] for a in at for k in range(a, a + width)}
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in lost)
                 texts.append(text)
                 total.append(n)
-                removed.append(len(cut))
-            columns = [batch.column(n) for n in names]
+                removed.append(len(lost))
+            columns = batch.columns[: len(names)]
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "_n_lines", "_n_removed"])
+            added = [pa.array(total, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *added], [*names, *(counts or ())])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, f"{schema}, _n_lines long, _n_removed long")
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts or ())])
+    return rows.mapInArrow(run, schema)

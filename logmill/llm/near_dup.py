@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from logmill.llm.arrays import gather_runs, inside, mix, rolling, slices, split_words
 from logmill.llm.components import components
 from logmill.llm.frequent import Bloom
-from logmill.llm.storage import materialize
+from logmill.llm.storage import fresh, materialize
 from logmill.llm.substrings import keyed
 
 SHINGLE, THRESHOLD = 5, 85
@@ -269,6 +269,6 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows equal in id and text stay or go together; where no id of a component is
     known, all its rows stay.
     """
-    out = near_duplicates(docs, threshold)
-    gone = out.where("component_id is not null and not (doc_id <=> component_id)").select("_key").distinct()
-    return keyed(docs).join(gone, "_key", "left_anti").select(*docs.columns)
+    out, key = near_duplicates(docs, threshold), fresh(docs, "_key")
+    gone = out.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("_key").alias(key)).distinct()
+    return keyed(docs, key).join(gone, key, "left_anti").select(*docs.columns)

@@ -74,13 +74,9 @@ def op9_min_max_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the hash of the text that is left (null text: null)."""
-    kept = lines.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
-        F.sha2("text", 256).alias("kept_sha256"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.remove_repeated_windows(docs, counts=("n_lines", "n_removed"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

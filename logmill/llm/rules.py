@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.storage import materialize
+from logmill.llm.storage import fresh, materialize
 
 #: The white space and the marks that the statistics are about.
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
@@ -40,7 +40,7 @@ def with_stats(docs: DataFrame, name: str = "_stats") -> DataFrame:
     windows that the text has twice or more).
     """
     own = list(docs.columns)
-    text, words, pairs, at = (f"{name}_{k}" for k in ("text", "words", "pairs", "at"))
+    text, words, pairs, at = (fresh(docs, f"{name}_{k}") for k in ("text", "words", "pairs", "at"))
     out = docs.withColumn(text, F.coalesce("text", F.lit("")))
     trimmed = F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))
     out = out.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+")))
@@ -210,9 +210,16 @@ def fit(stats: DataFrame, labels: DataFrame, name: str = "_stats") -> DecisionLi
     return learn(materialize(labelled_features(stats, labels, name), "rule-labels"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
-    """``docs`` (all columns) with ``_stats`` and ``_kept``, and the list learned; statistics are computed once."""
-    found = materialize(with_stats(docs), "rule-stats")
-    rules = fit(found, labels)
-    stats = F.col("_stats")
-    return found.withColumn("_kept", ~base_failed(stats) & rules.keeps(features(stats))), rules
+def judge(docs: DataFrame, labels: DataFrame, stats: str = "_stats", kept: str = "_kept") -> tuple[DataFrame, DecisionList]:
+    """``docs`` (all columns) with the statistics and whether they are kept, and the list learned; statistics are computed once."""
+    found = materialize(with_stats(docs, stats), "rule-stats")
+    rules = fit(found, labels, stats)
+    s = F.col(stats)
+    return found.withColumn(kept, ~base_failed(s) & rules.keeps(features(s))), rules
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that neither the base rules nor the learned list reject."""
+    stats, kept = fresh(docs, "_stats"), fresh(docs, "_kept")
+    judged, _ = judge(docs, labels, stats, kept)
+    return judged.where(F.col(kept)).select(*docs.columns)

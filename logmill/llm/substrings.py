@@ -57,9 +57,9 @@ class ShardWindows:
         return np.unique(self.grams[(self.grams == most) & (most > 0)], return_counts=True)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Add ``_key``, a hash of id and text that is the same in every pass."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
+    """Add a hash of id and text that is the same in every pass."""
+    return docs.withColumn(name, F.xxhash64("doc_id", "text"))
 
 
 def repeated_anchors(docs: DataFrame, width: int, anchor: int) -> DataFrame:

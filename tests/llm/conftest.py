@@ -48,8 +48,9 @@ def doc_rows():
 @pytest.fixture(scope="session")
 def docs(spark, doc_rows):
     """The rows with columns that clash with names the operators use inside."""
-    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "z") for i, t in doc_rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n int, _row string").repartition(5)
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, *"zzzzzz") for i, t in doc_rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n int, _row string, _KEY string, _gone string, _stats string, _kept string, spread string"
+    return spark.createDataFrame(rows, schema).repartition(5)
 
 
 @pytest.fixture(scope="session")

@@ -16,8 +16,8 @@ def expected(text):
 
 
 def test_statistics(docs, doc_rows):
-    got = rules.with_stats(docs)
-    assert got.columns == [*docs.columns, "_stats"]
+    assert rules.with_stats(docs, "more").columns == [*docs.columns, "more"]
+    got = rules.with_stats(docs.drop("_stats"))
     extra = [(1, "a b c a b c a b c d"), (2, "x x x x"), (3, "# a\n# a\n\n \n# a\nb | c"), (4, "\x0b a\x0cb\r"), (5, "é 日本 a b")]
     rows = doc_rows + extra
     more = docs.sparkSession.createDataFrame(extra, "doc_id long, text string")
@@ -53,7 +53,9 @@ def test_learns_held_out_rules(spark):
 
 def test_edge_cases(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, None), (None, 0), (10**9, 1)], "doc_id long, quality int")
-    out, learned = rules.judge(docs, labels)
+    out, learned = rules.judge(docs, labels, "_s", "_k")
     assert not learned.rules and out.count() == docs.count()
-    assert out.where("_kept is null").count() == 0
-    assert rules.judge(no_docs, labels)[0].count() == 0
+    assert out.where("_k is null").count() == 0
+    assert rules.judge(no_docs, labels, "_s", "_k")[0].count() == 0
+    kept = rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == out.where("_k").count() and kept.where("_stats = 'z' and _kept = 'z'").count() == kept.count()
