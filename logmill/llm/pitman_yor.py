@@ -8,15 +8,15 @@ restaurants share one parent, the unigram restaurant, whose own base is diffuse:
 a draw from it is always a word never seen, and all unseen words are one event.
 So the model is normalised over the distinct training tokens and that event.
 
-Seating arrangements are sampled by Gibbs: a customer leaves its table and sits
-down again, at a table with probability proportional to its size less the
-discount, or at a new one in proportion to the parent's probability.  All dishes
-move at once, one random customer each a step; the restaurants' totals are those
-of the round before, as in distributed samplers of topic models.  What a word
-needs (64 cells at most) lies in one row, so a round is one pass over the word
-table.  Random numbers come from a hash of word, context and step: results do not
-depend on partitions or retries.  Predictive probabilities are averaged over the
-samples of the last round.
+Seating arrangements are sampled by Gibbs with the sizes of tables summed out: a
+dish's customers in a restaurant are seated anew given all other seatings, which
+draws its number of tables; every table sends one customer to the parent.  The
+draw is exact up to ``SMALL`` customers and normal around a saddle point beyond.
+The restaurants' totals are those of the round before, as in distributed samplers
+of topic models.  What a word needs (64 cells at most) lies in one row, so a round
+is one pass over the word table, with memory for its cells only.  Random numbers
+come from a hash of word, context and step: results do not depend on partitions or
+retries.  Predictive probabilities are averaged over the samples of the last round.
 
 Discounts come from counts of counts; both strengths are fixed.  Texts are
 lower-cased (A-Z) and cut into runs without ASCII white space; an end token
@@ -43,6 +43,8 @@ CONTEXTS, START, OTHER = 64, 0, 63
 #: Words rarer than this in a slice cannot become contexts through it.
 RARE = 1 / 20_000
 STRENGTH = 1.0
+#: Customers of a dish in a restaurant up to which its tables are drawn exactly.
+SMALL = 40
 #: Frequent words whose probabilities every scoring task holds: a fixed bound.
 HOT = 32_768
 END_HASH = np.uint64(0xE2D0F7E875A3B1C5)
@@ -143,72 +145,116 @@ class Model:
         return float(self.tables.sum())
 
 
-def seat(cells: Cells, model: Model, sweeps: int, samples: int, seed: int, moves: int = 2) -> np.ndarray:
-    """Tables of each cell in ``samples`` arrangements (samples x cells), after ``sweeps`` to settle."""
-    word, d, theta = cells.word, model.discount, STRENGTH
-    total = theta + model.root_customers
-    cell_key = cells.h[word] * np.uint64(CONTEXTS) + cells.ctx.astype(np.uint64) if len(word) else np.zeros(0, np.uint64)
-    t = np.ones(len(word), np.int64)
-    draw = np.bincount(word, minlength=len(cells.h)).astype(np.float64)  # customers of each dish in the parent
-    active = np.flatnonzero(cells.c > 1)
-    c, u, w, key = cells.c[active], cells.ctx[active], word[active], cell_key[active]
-
-    def weight(at_root: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return (theta + d * tables) * np.maximum(at_root - model.root_discount, 1e-3) / total
-
-    # To begin with: about the tables that seating one customer after the other would give.
-    for _ in range(2):
-        a = weight(draw[w], model.tables[u])
-        grown, i = np.ones(len(c)), np.ones(len(c))
-        ratio = c.astype(np.float64) ** (1 / 24)
-        for _ in range(24):
-            step = i * ratio - i
-            grown = np.minimum(grown + step * a / np.maximum(a + i - d * grown, 1e-9), np.maximum(i, 1))
-            i *= ratio
-        t[active] = np.clip(np.floor(grown + uniform(seed, key)), 1, c).astype(np.int64)
-        draw = np.bincount(word, weights=t, minlength=len(cells.h))
-    ta = t[active]
-    owner = np.repeat(np.arange(len(c)), ta)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(ta) - ta, ta)
-    size = (c // np.maximum(ta, 1))[owner] + (place < (c % np.maximum(ta, 1))[owner])
-    first = np.cumsum(c) - c
-
-    def move(number: int) -> None:
-        nonlocal owner, size, ta, draw
-        at = np.searchsorted(np.cumsum(size), first + np.minimum((uniform(seed, number, 1, key) * c).astype(np.int64), c - 1), side="right")
-        size[at] -= 1
-        dead = size[at] == 0
-        ta = ta - dead
-        draw = draw - np.bincount(w, weights=dead, minlength=len(draw))
-        a = weight(draw[w], model.tables[u] - dead)
-        rest = c - 1 - d * ta
-        x = uniform(seed, number, 2, key) * (rest + a)
-        new = x < a
-        open_ = np.cumsum(np.where(size > 0, size - d, 0.0))
-        start = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(c)))))
-        before = np.where(start[:-1] > 0, open_[start[:-1] - 1], 0.0)
-        to = np.clip(np.searchsorted(open_, before + np.where(new, 0, x - a), side="right"), start[:-1], start[1:] - 1)
-        old = np.flatnonzero(~new)
-        to = to[old]
-        fuzzy = size[to] == 0  # rounding led to the table just emptied: sit down there again
-        size[to] += 1
-        ta[old[fuzzy]] += 1
-        draw = draw + np.bincount(w, weights=new, minlength=len(draw)) + np.bincount(w[old[fuzzy]], minlength=len(draw))
-        ta = ta + new
-        keep = size > 0
-        size = np.concatenate((size[keep], np.ones(int(new.sum()), size.dtype)))
-        owner = np.concatenate((owner[keep], np.flatnonzero(new)))
-        order = np.argsort(owner, kind="stable")
-        size, owner = size[order], owner[order]
+_stirling: dict[float, np.ndarray] = {}
+
 
+def log_seatings(discount: float) -> np.ndarray:
+    """Logarithm of the weight of all ways to seat ``c`` customers at ``t`` tables, by [c, t] up to ``SMALL``.
+
+    Generalised Stirling numbers: customer ``c + 1`` opens a table or joins one of
+    ``t`` with a total weight of ``c - discount * t``.
+    """
+    if discount not in _stirling:
+        w = np.zeros((SMALL + 1, SMALL + 1))
+        w[0, 0] = 1.0
+        t = np.arange(SMALL + 1)
+        for c in range(SMALL):
+            w[c + 1, 1:] += w[c, :-1]
+            w[c + 1] += np.maximum(c - discount * t, 0.0) * w[c]
+        with np.errstate(divide="ignore"):
+            _stirling[discount] = np.log(w)
+    return _stirling[discount]
+
+
+def _draw_small(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, model: Model, u: np.ndarray) -> np.ndarray:
+    """Tables of cells with few customers from their exact distribution given everything else."""
+    out = np.ones(len(c), np.int64)
+    weights = log_seatings(model.discount)
+    low = 2
+    for high in (3, 6, 12, 24, SMALL):
+        at = np.flatnonzero((c >= low) & (c <= high))
+        low = high + 1
+        if not len(at):
+            continue
+        t = np.arange(1, high + 1)
+        # Each table beyond the first is one more draw of the word from the parent, which has seen the earlier ones.
+        more = np.log(others[at][:, None] + t[:-1] - model.root_discount) + log_new[at][:, None]
+        w = weights[c[at]][:, 1 : high + 1] + np.concatenate((np.zeros((len(at), 1)), np.cumsum(more, axis=1)), axis=1)
+        p = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        out[at] = 1 + (p < (u[at] * p[:, -1])[:, None]).sum(axis=1)
+    return np.minimum(out, np.maximum(c, 1))
+
+
+def _large_moments(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables of ``c`` customers if each table has weight ``a``, for large ``c``.
+
+    Tables are a Poisson process whose sizes add up to ``c``: the saddle point of
+    ``exp(a * (1 - y**d) / d)`` with ``y = 1 - x`` solves ``a * (1 - y) * y**(d - 1) = c``.
+    """
+    mean, var, log_width = _saddle(c, a, d)
+    # Second order: half the change of the saddle's width; where one table has almost all customers it is that table.
+    _, _, wider = _saddle(c, a * 1.02, d)
+    return mean + np.clip(-0.5 * (wider - log_width) / np.log(1.02), 0.0, 1.0), var
+
+
+def _saddle(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, variance and the logarithm of the saddle's width."""
+    goal = np.log(c / a)
+    y = np.clip(np.where(goal > 0, np.exp(-goal / (1 - d)) / 2, 0.5), 1e-300, 1 - 1e-12)
+    for _ in range(16):
+        f = np.log1p(-y) + (d - 1) * np.log(y) - goal
+        slope = -y / (1 - y) + (d - 1)  # by log y
+        y = np.clip(y * np.exp(np.clip(-f / slope, -3, 3)), 1e-300, 1 - 1e-12)
+    x = 1 - y
+    g, g1, g2 = (1 - y**d) / d, y ** (d - 1), (1 - d) * y ** (d - 2)
+    spread = x * g1 + x * x * g2
+    return a * g, a * np.maximum(g - (x * g1) ** 2 / spread, 0.0), np.log(a * spread)
+
+
+def _draw_large(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, now: np.ndarray, model: Model, u: np.ndarray, v: np.ndarray, turns: int) -> np.ndarray:
+    """Tables of cells with many customers: a rounded normal draw around the saddle point."""
+    mean = now.astype(np.float64)
+    var = mean
+    for _ in range(turns):  # the weight of a table grows with the tables that the parent has seen
+        a = np.exp(log_new) * np.maximum(others + mean - model.root_discount, 1e-9)
+        mean, var = _large_moments(c.astype(np.float64), a, model.discount)
+        mean = np.clip(mean, 1.0, c)
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+    return np.clip(np.rint(mean + np.sqrt(var) * normal), 1, c).astype(np.int64)
+
+
+def seat(cells: Cells, model: Model, sweeps: int, samples: int, seed: int) -> np.ndarray:
+    """Tables of each cell in ``samples`` arrangements (samples x cells), after ``sweeps`` to settle.
+
+    Sizes of tables are summed out: the state of a cell is its number of tables, drawn
+    given the word's other cells and the restaurants' totals. A step draws a random
+    half of the cells, so that a word's cells see each other move. Memory and time
+    depend on the number of cells, not of customers.
+    """
+    word = cells.word
+    key = cells.h[word] * np.uint64(CONTEXTS) + cells.ctx.astype(np.uint64) if len(word) else np.zeros(0, np.uint64)
+    log_new = np.log((STRENGTH + model.discount * model.tables[cells.ctx]) / (STRENGTH + model.root_customers))
+    t = np.ones(len(word), np.int64)
+    small, large = np.flatnonzero((cells.c > 1) & (cells.c <= SMALL)), np.flatnonzero(cells.c > SMALL)
     out = np.zeros((samples, len(word)), np.int64)
-    for sweep in range(sweeps + samples):
-        if len(active):
-            for m in range(moves):
-                move(16 * sweep + m)
-        if sweep >= sweeps:
-            t[active] = ta
-            out[sweep - sweeps] = t
+
+    def others(at: np.ndarray) -> np.ndarray:
+        return np.bincount(word, weights=t, minlength=len(cells.h))[word[at]] - t[at]
+
+    for step in range(2 * (sweeps + samples)):
+        first = step == 0
+        for number, kind in enumerate((small, large)):
+            at = kind if first else kind[uniform(seed, step, 3, key[kind]) < 0.5]
+            if not len(at):
+                continue
+            u = uniform(seed, step, 1, key[at])
+            if number == 0:
+                t[at] = _draw_small(cells.c[at], others(at), log_new[at], model, u)
+            else:
+                t[at] = _draw_large(cells.c[at], others(at), log_new[at], t[at], model, u, uniform(seed, step, 2, key[at]), 12 if first else 3)
+        done = step // 2 - sweeps
+        if step % 2 and done >= 0:
+            out[done] = t
     return out
 
 

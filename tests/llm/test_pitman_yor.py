@@ -62,26 +62,47 @@ def test_held_out_beats_add_half(spark):
     assert gain > 0.1
 
 
-def test_gibbs_matches_exact_posterior():
-    """One word, one context, four customers: the number of tables has a closed-form posterior."""
-    theta, d, root_d, tables, n = 1.0, 0.5, 0.4, 30.0, 4
-    model = py.Model(np.full(64, 100.0), np.full(64, tables / 64), 5, d, root_d)
-    counts = np.zeros(n + 1)
+def exact_tables(n, theta, d, root_d, tables, others=0.0):
+    """Posterior of the number of tables of one dish with n customers, everything else given."""
+    stirling = np.zeros(n + 1)
+    log = np.full((n + 1, n + 1), -np.inf)
+    log[0, 0] = 0.0
+    t = np.arange(n + 1)
+    for m in range(n):
+        with np.errstate(divide="ignore"):
+            join = log[m] + np.log(np.maximum(m - d * t, 0.0))
+        log[m + 1] = np.logaddexp(np.concatenate(([-np.inf], log[m, :-1])), join)
+    w = log[n].copy()
+    for k in range(2, n + 1):  # each further table needs one more draw of the word from the parent
+        w[k:] += np.log((theta + d * (tables / 64)) * (others + k - 1 - root_d) / (theta + tables))
+    stirling[1:] = np.exp(w[1:] - w[1:].max())
+    return stirling / stirling.sum()
+
+
+@pytest.mark.parametrize(("n", "tables", "d"), [(4, 30.0, 0.5), (12, 3000.0, 0.7), (30, 500.0, 0.3)])
+def test_gibbs_matches_exact_posterior(n, tables, d):
+    """One word in one context: the number of tables has a closed-form posterior."""
+    model = py.Model(np.full(64, 100.0), np.full(64, tables / 64), 5, d, 0.4)
     h = np.arange(4000, dtype=np.uint64) * np.uint64(7919)
     x = py.Cells(h, np.arange(len(h) + 1), np.full(len(h), 9), np.full(len(h), n))
-    for row in py.seat(x, model, 30, 1, 5):
-        counts += np.bincount(row, minlength=n + 1)
-    stirling = {(0, 0): 1.0}
+    counts = sum(np.bincount(row, minlength=n + 1) for row in py.seat(x, model, 4, 2, 5))
+    assert np.allclose(counts / counts.sum(), exact_tables(n, 1.0, d, 0.4, tables), atol=0.03)
+
+
+@pytest.mark.parametrize(("n", "a", "d"), [(60, 20.0, 0.5), (400, 3.0, 0.7), (400, 900.0, 0.3), (1000, 150.0, 0.6)])
+def test_saddle_point_of_many_customers(n, a, d):
+    log = np.full(n + 1, -np.inf)
+    log[0] = 0.0
+    t = np.arange(n + 1)
     for m in range(n):
-        for t in range(m + 2):
-            stirling[(m + 1, t)] = stirling.get((m, t - 1), 0) + (m - d * t) * stirling.get((m, t), 0)
-    want = np.zeros(n + 1)
-    for t in range(1, n + 1):  # each further table needs one more draw of the word from the parent
-        w = stirling[(n, t)]
-        for j in range(1, t):
-            w *= (theta + d * (tables / 64)) * (j - root_d) / (theta + tables)
-        want[t] = w
-    assert np.allclose(counts / counts.sum(), want / want.sum(), atol=0.03)
+        with np.errstate(divide="ignore"):
+            log = np.logaddexp(np.concatenate(([-np.inf], log[:-1])), log + np.log(np.maximum(m - d * t, 0.0)))
+    p = np.exp(log + t * np.log(a) - (log + t * np.log(a)).max())
+    p /= p.sum()
+    mean = (p * t).sum()
+    var = (p * (t - mean) ** 2).sum()
+    got_mean, got_var = (float(x[0]) for x in py._large_moments(np.array([float(n)]), np.array([a]), d))
+    assert abs(got_mean - mean) < 0.03 * mean + 0.6 and abs(got_var - var) < 0.15 * var + 0.5
 
 
 def test_no_training_rows(spark, no_docs):
