@@ -1,7 +1,7 @@
 """A corpus pipeline of the training-data operators; every stage works on what the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``; the last
-returns a row per packed piece.  ``run`` writes each stage's result below the
+returns a row per packed piece. Stages limit the size of Arrow batches in the session.  ``run`` writes each stage's result below the
 shared folder and reads it back, as a production job would.
 """
 
@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import decontaminate, lines, near_dup, packing, rules
-from logmill.llm.storage import materialize
+from logmill.llm.storage import limit_batches, materialize
 from logmill.llm.tokenize import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
+    limit_batches(spark)
     return rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; ``n_chars`` follows the text."""
+    limit_batches(spark)
     kept = lines.remove_repeated_windows(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -32,16 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (similarity 0.8 or more) stays."""
+    limit_batches(spark)
     return near_dup.keep_one(docs, threshold=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark passages go."""
+    limit_batches(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens; a row per piece."""
+    limit_batches(spark)
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), 4096)
     return packing.pack(pieces, 4096)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from logmill.llm.arrays import slices
 from logmill.llm.storage import file_system, materialize, new_folder
-from logmill.llm.tokenize import END_ID, word_encoder
+from logmill.llm.tokenize import ENCODE_BYTES, END_ID, word_encoder
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
@@ -137,7 +137,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, path = word_encoder(tokenizer), None, ""
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=ENCODE_BYTES):
                 ids, bounds = encoder.encode(part.column("text"), END_ID)
                 if out is None:
                     path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"

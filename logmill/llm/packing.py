@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from logmill.llm.arrays import slices
 from logmill.llm.storage import materialize
-from logmill.llm.tokenize import END_ID, word_encoder
+from logmill.llm.tokenize import ENCODE_BYTES, END_ID, word_encoder
 
 GROUP = 32_768
 
@@ -89,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=ENCODE_BYTES):
                 ids, bounds = encoder.encode(part.column("text"), END_ID)
                 ids = ids.astype("<u4", copy=False)
                 total = np.diff(bounds)

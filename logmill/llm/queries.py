@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import cotraining, decontaminate, frames, lines, near_dup, packing, pitman_yor, rules, substrings, token_counts
-from logmill.llm.storage import materialize
+from logmill.llm.storage import limit_batches, materialize
 from logmill.llm.tokenize import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -37,6 +37,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def limit_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Let batches between the JVM and Python workers have ``size`` bytes at most.
+
+    The default of 64 MB counts several times in an executor: on either side, per
+    core, with what is made of it.  Workers cut batches further, so results do not
+    depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

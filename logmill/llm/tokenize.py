@@ -19,7 +19,9 @@ from logmill.llm.arrays import flat_text, gather_runs, run_sums, split_words
 
 END_ID = 1
 #: A worker adds words to those whose ids it remembers until it has so many.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
+#: Bytes of text that an encoder takes at a time: more text has fewer distinct words for its size.
+ENCODE_BYTES = 8 << 20
 #: Words per library call: its result objects are large.
 CALL_WORDS = 16_384
 
