@@ -32,6 +32,13 @@ def op2_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *(s[n].alias(n) for n in rules.STATS), failed.alias("base_failed"), (~failed & learned.keeps(rules.features(s))).alias("kept"))
 
 
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the quality rules that SQL can express."""
+    s = F.col("_stats")
+    found = rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(s[n].alias(n) for n in rules.STATS), rules.base_failed(s).alias("base_failed"))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = frames.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
     return frames.read_shards(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -83,6 +90,7 @@ def op10_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op2_decision_list_rules": op2_decision_list_rules,
+    "rule_statistics": rule_statistics,
     "op3_token_frames": op3_token_frames,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_array_decontamination": op5_suffix_array_decontamination,
@@ -97,6 +105,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE_WORD, _LETTER_WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+RULE_STATISTICS_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORD}') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+windows AS (SELECT r, i, array_to_string(w[i : i + 2], ' ') AS k FROM starts),
+repeated AS (SELECT r, k FROM windows GROUP BY r, k HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT windows.r, unnest(range(i, i + 3)) AS p FROM windows JOIN repeated ON repeated.r = windows.r AND repeated.k = windows.k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
+duplicates AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+found AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  coalesce(duplicates.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN covered USING (r) LEFT JOIN duplicates USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found
+"""
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM benchmark),
@@ -154,6 +176,7 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 
 #: The other operators have no SQL: learned models (1, 2, 8) and library tokenizers (3, 4, 6).
 ORACLE_SQL: dict[str, str] = {
+    "rule_statistics": RULE_STATISTICS_SQL,
     "op5_suffix_array_decontamination": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_min_max_near_dup": OP9_SQL,
