@@ -1,0 +1,218 @@
+"""The Pitman-Yor model with a restaurant for every context that the texts have.
+
+A context is the previous word, whichever it is, or the start of a text; nothing is
+lumped or left out.  A cell is a word in a context, told apart by 64-bit hashes.  All
+cells are counted exactly, and lie in a table without order or grouping, so neither a
+frequent word nor a frequent context makes a row or a task large.
+
+What a draw needs besides its cell are the tables of the word and of the context: the
+most frequent words and contexts (``HOT``, a fixed bound) meet theirs in a broadcast,
+the others in a shuffle join.  Results are the same either way.  A cell with one
+customer has one table, so rounds pass over the others only.  The chain goes on from
+round to round: each starts from the tables that the one before has written, moves a
+random half of the cells (all in the first) given the totals of the round before, and
+the last rounds are the samples.
+
+Every pair of words in the texts, also those of rows not learned from, gets its
+probability once.  Pairs in texts meet it by a 64-bit hash of both words.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from logmill.llm.arrays import mix, run_sums, slices, uniform
+from logmill.llm.frequent import frequent
+from logmill.llm.pitman_yor import END_HASH, SMALL, STRENGTH, Model, _draw_large, _draw_small, tokens_of
+from logmill.llm.storage import materialize
+
+START_HASH = np.uint64(0x5B7E151628AED2A7)
+#: Words or contexts whose totals every task holds, and pairs whose probabilities every scoring task holds.
+HOT, HOT_PAIRS = 1 << 17, 1 << 18
+
+
+def pairs_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, before, bounds, hashes)``: token ``i`` is ``hashes[codes[i]]`` after ``hashes[before[i]]``."""
+    codes, _, bounds, hashes = tokens_of(text, np.zeros(0, np.uint64))
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[bounds[:-1]] = len(hashes)
+    return codes, before, bounds, np.append(hashes, START_HASH)
+
+
+def pair_hash(h: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(h + mix(u ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
+def count_cells(docs: DataFrame) -> DataFrame:
+    """``h, u, c`` of every pair in (text, train): how often it occurs in training rows, 0 if only in others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, size=8 << 20):
+                codes, before, bounds, hashes = pairs_of(part.column("text"))
+                train = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(bounds))
+                keys, n = np.unique((codes * len(hashes) + before) * 2 + train, return_counts=True)
+                h, u = np.divmod(keys >> 1, len(hashes))
+                yield pa.RecordBatch.from_pydict({"h": pa.array(hashes[h].view(np.int64)), "u": pa.array(hashes[u].view(np.int64)), "n": pa.array(n * (keys & 1))})
+
+    return docs.select("text", "train").mapInArrow(run, "h long, u long, n long").groupBy("h", "u").agg(F.sum("n").alias("c"))
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, hot: int) -> DataFrame:
+    """``rows`` with the columns of ``table`` (a row per ``key``; null if it has none): heavy keys by broadcast, the others by a join."""
+    top = frequent(table, weight, hot)
+    near = rows.join(F.broadcast(top), key)
+    far = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(table, key, "left")
+    return near.unionByName(far)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Tables of words (h, c, n, T) and contexts (u, n, T), all pairs (h, u, c, t); T and t have a value per sample."""
+
+    words: DataFrame
+    contexts: DataFrame
+    cells: DataFrame
+    customers: int
+    n_words: int
+    discount: float
+    root_discount: float
+    root_tables: list[int]
+
+
+def _discount(a: int, b: int) -> float:
+    return min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+
+
+def step(active: DataFrame, number: int, keep: bool, seed: int, singles: int, discount: float, root_discount: float, hot: int) -> DataFrame:
+    """One round over ``active`` (h, u, c, fw, fu, t, kept): tables drawn given the totals of the round before; kept as a sample if ``keep``."""
+    totals = active.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t")).collect()[0]
+    root = float(singles + totals["t"])
+    model = Model(np.zeros(0), np.zeros(0), 0, discount, root_discount)
+    words = materialize(active.groupBy("h").agg((F.max("fw") + F.sum("t")).alias("tw"), F.count(F.lit(1)).alias("cells_w")), "lm-round-words")
+    contexts = materialize(active.groupBy("u").agg((F.max("fu") + F.sum("t")).alias("tu"), F.count(F.lit(1)).alias("cells_u")), "lm-round-contexts")
+    joined = attach(attach(active, words, "h", "cells_w", hot), contexts, "u", "cells_u", hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, u, c, t, tw, tu = (batch.column(n).to_numpy() for n in ("h", "u", "c", "t", "tw", "tu"))
+            key = pair_hash(h.view(np.uint64), u.view(np.uint64))
+            log_new = np.log((STRENGTH + discount * tu) / (STRENGTH + root))
+            others, t = tw - t, t.copy()
+            moves = np.ones(len(t), bool) if number == 0 else uniform(seed, number, 3, key) < 0.5
+            at = np.flatnonzero(moves & (c <= SMALL))
+            t[at] = _draw_small(c[at], others[at], log_new[at], model, uniform(seed, number, 1, key[at]))
+            at = np.flatnonzero(moves & (c > SMALL))
+            if len(at):
+                t[at] = _draw_large(c[at], others[at], log_new[at], t[at], model, uniform(seed, number, 1, key[at]), uniform(seed, number, 2, key[at]), 12 if number == 0 else 3)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("h", "u", "c", "fw", "fu")), pa.array(t), batch.column("kept")], ["h", "u", "c", "fw", "fu", "t", "kept"])
+
+    drawn = joined.select("h", "u", "c", "fw", "fu", "t", "kept", "tw", "tu").mapInArrow(run, "h long, u long, c long, fw long, fu long, t long, kept array<long>")
+    if keep:
+        drawn = drawn.withColumn("kept", F.concat("kept", F.array("t")))
+    return materialize(drawn, "lm-round")
+
+
+def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot: int = HOT) -> Fitted:
+    """Learn from the rows of ``docs`` (text, train) with ``train``; ``rounds`` settle before the samples."""
+    cells = materialize(count_cells(docs), "lm-cells")
+    seen = cells.where("c > 0")
+    single = F.sum((F.col("c") == 1).cast("long"))
+    words = materialize(seen.groupBy("h").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), single.alias("fw")), "lm-word-counts")
+    contexts = materialize(seen.groupBy("u").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), single.alias("fu")), "lm-context-counts")
+    r = words.agg(F.count(F.lit(1)), F.sum("c"), F.sum("fw"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).collect()[0]
+    n_words, customers, singles, root_one, root_two = (int(v or 0) for v in r)
+    discount = _discount(singles, seen.where("c = 2").count())
+    root_discount = _discount(root_one, root_two)
+    active = attach(seen.where("c > 1"), words.select("h", "n", "fw"), "h", "n", hot).drop("n")
+    active = attach(active, contexts.select("u", "n", "fu"), "u", "n", hot).drop("n")
+    active = materialize(active.select("h", "u", "c", "fw", "fu", F.lit(1).cast("long").alias("t"), F.array().cast("array<long>").alias("kept")), "lm-active")
+    for number in range(rounds + samples):
+        active = step(active, number, number >= rounds, seed, singles, discount, root_discount, hot)
+
+    def per_sample(fixed: Column) -> Column:
+        return F.array(*(fixed + F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(samples)))
+
+    sums = [F.sum(F.col("kept")[i]).alias(f"s{i}") for i in range(samples)]
+    words = materialize(words.join(active.groupBy("h").agg(*sums), "h", "left").select("h", "n", F.col("c").alias("cw"), per_sample(F.col("fw")).alias("tw")), "lm-words")
+    contexts = materialize(contexts.join(active.groupBy("u").agg(*sums), "u", "left").select("u", "n", F.col("c").alias("cu"), per_sample(F.col("fu")).alias("tu")), "lm-contexts")
+    total = active.agg(*sums).collect()[0]
+    flat = cells.where("c < 2").select("h", "u", "c", F.array_repeat("c", samples).alias("t"))
+    return Fitted(words, contexts, flat.unionByName(active.select("h", "u", "c", F.col("kept").alias("t"))), customers, n_words, discount, root_discount, [singles + int(v or 0) for v in total])
+
+
+def probabilities(fitted: Fitted, hot: int = HOT) -> DataFrame:
+    """``h, u, c, cw, p``: pairs, their counts and their words' in training, and their probabilities averaged over the samples."""
+    joined = attach(fitted.cells, fitted.words, "h", "n", hot).drop("n")
+    joined = attach(joined, fitted.contexts, "u", "n", hot).drop("n")
+    d, d0, cu = fitted.discount, fitted.root_discount, F.coalesce(F.col("cu"), F.lit(0))
+    p = F.lit(0.0)
+    for s, tables in enumerate(fitted.root_tables):
+        root = F.coalesce(F.col("tw")[s] - d0, F.lit(STRENGTH + d0 * fitted.n_words)) / (STRENGTH + tables)
+        p += (F.col("c") - d * F.col("t")[s] + (STRENGTH + d * F.coalesce(F.col("tu")[s], F.lit(0))) * root) / (STRENGTH + cu)
+    return joined.select("h", "u", "c", F.coalesce("cw", F.lit(0)).alias("cw"), (p / len(fitted.root_tables)).alias("p"))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, u = (batch.column(n).to_numpy().view(np.uint64) for n in ("h", "u"))
+        yield pa.RecordBatch.from_pydict({"k": pa.array(pair_hash(h, u).view(np.int64)), "c": batch.column("c"), "cw": batch.column("cw"), "lp": pa.array(np.log10(batch.column("p").to_numpy()).astype(np.float32))})
+
+
+def score(docs: DataFrame, fitted: Fitted, hot: int = HOT, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text), all of them seen by ``fit``: n_tokens, n_known, base_score, score (log10 probabilities)."""
+    pairs = materialize(probabilities(fitted, hot).mapInArrow(_keyed, "k long, c long, cw long, lp float"), "lm-pairs")
+    norm = fitted.customers + 0.5 * (fitted.n_words + 1)
+    top = frequent(pairs, "c", hot_pairs).toArrow()
+    keys = top["k"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((keys[order], np.log10((top["cw"].to_numpy()[order] + 0.5) / norm), top["lp"].to_numpy()[order].astype(np.float64)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base, logs = sent.value
+        for batch in batches:
+            for part in slices(batch, size=8 << 20):
+                codes, before, bounds, hashes = pairs_of(part.column("text"))
+                k = pair_hash(hashes[codes], hashes[before])
+                at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
+                here = known[at] == k if len(known) else np.zeros(len(k), bool)
+                at = np.where(here, at, 0)
+                base_sum, log_sum = (run_sums(np.where(here, v[at] if len(v) else 0.0, 0.0), bounds) for v in (base, logs))
+                doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))[~here]
+                ids, rows, rest = part.column("_row").to_numpy(), part.num_rows, k[~here]
+                none = pa.nulls(len(rest), pa.int64())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "_row": pa.array(np.concatenate((ids, ids[doc]))),
+                        "doc_id": pa.concat_arrays([part.column("doc_id"), none]),
+                        # A text's own row has no pair; its key spreads it and means nothing.
+                        "k": pa.array(np.concatenate((mix(ids.view(np.uint64)), rest)).view(np.int64)),
+                        "n_tokens": pa.concat_arrays([pa.array(np.diff(bounds)), none]),
+                        "hot": pa.concat_arrays([pa.array(run_sums(here, bounds).astype(np.int64)), none]),
+                        "base": pa.concat_arrays([pa.array(base_sum), none.cast(pa.float64())]),
+                        "log": pa.concat_arrays([pa.array(log_sum), none.cast(pa.float64())]),
+                    }
+                )
+
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    parts = rows.mapInArrow(scan, "_row long, doc_id long, k long, n_tokens long, hot long, base double, log double")
+    joined = parts.join(pairs.drop("c"), "k", "left")
+    tail = F.col("n_tokens").isNull()
+    return (
+        joined.groupBy("_row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_tokens").alias("n_tokens"),
+            F.sum(F.when(tail, (F.col("cw") > 0).cast("long")).otherwise(F.col("hot"))).alias("n_known"),
+            F.sum(F.when(tail, F.log10((F.col("cw") + 0.5) / norm)).otherwise(F.col("base"))).alias("base_score"),
+            F.sum(F.when(tail, F.col("lp").cast("double")).otherwise(F.col("log"))).alias("score"),
+        )
+        .drop("_row")
+    )

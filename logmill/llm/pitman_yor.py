@@ -1,5 +1,9 @@
 """A hierarchical Pitman-Yor language model over words, and its scores of texts.
 
+``score_corpus``, the registered query, gives every previous word a restaurant of its
+own: see ``bigrams``, which shares the draws and the reading of texts below.  What
+follows describes ``fit`` and ``score``, a small model of 64 contexts.
+
 Every token is drawn in the restaurant of its context, one of 64: the start of a
 text, one of the 62 most frequent training words before it, or any other word
 before it.  The frequent words are found by a count that leaves out words rarer
@@ -490,14 +494,16 @@ def perplexity(scores: DataFrame) -> float:
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Learn from the training rows of ``docs`` (doc_id, text) and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    fitted = fit(docs.where(in_training(F.col("doc_id"))))
-    out = score(docs, fitted)
+    from logmill.llm import bigrams
+
+    fitted = bigrams.fit(docs.select("text", in_training(F.col("doc_id")).alias("train")))
+    out = bigrams.score(docs, fitted)
     return out.select(
         "doc_id",
         (~in_training(F.col("doc_id"))).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(int(fitted.posterior.model.customers.sum())).cast("long").alias("train_tokens"),
+        F.lit(fitted.customers).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

@@ -1,0 +1,39 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logmill.llm import bigrams
+from logmill.llm import pitman_yor as py
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    """200 previous words, each followed by a word of its own: more contexts than 64."""
+    rows = [(i, " ".join(f"a{j} b{j} z" for j in range(i % 7, 200, 3))) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string").select("*", py.in_training(F.col("doc_id")).alias("train"))
+
+
+def test_every_context_has_a_restaurant_and_is_normalised(marked):
+    fitted = bigrams.fit(marked)
+    assert fitted.contexts.count() > 400
+    p = bigrams.probabilities(fitted).toPandas()
+    words, contexts = fitted.words.toPandas().set_index("h"), fitted.contexts.toPandas().set_index("u")
+    d, d0, total = fitted.discount, fitted.root_discount, np.array(fitted.root_tables) + py.STRENGTH
+    root = (np.stack(words.tw) - d0) / total
+    for u, r in contexts.iterrows():
+        back = (py.STRENGTH + d * np.array(r.tu)) / (py.STRENGTH + r.cu)
+        full = dict(zip(words.index, (back * root).mean(axis=1)))
+        full |= {h: v for h, v in zip(p[p.u == u].h, p[p.u == u].p) if h in full}
+        unseen = (back * (py.STRENGTH + d0 * fitted.n_words) / total).mean()
+        assert np.isclose(sum(full.values()) + unseen, 1)
+
+
+def test_rare_contexts_are_learned(marked):
+    """Each b follows only its a: a context rarer than the 62 most frequent words must predict it."""
+    out = py.score_corpus(marked).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).collect()[0]
+    assert out["sum(score)"] / out["sum(n_tokens)"] > -1.0
+
+
+def test_broadcast_and_join_agree(marked):
+    a, b = (sorted(r.score for r in bigrams.score(marked, bigrams.fit(marked, hot=h), hot=h, hot_pairs=h).collect()) for h in (0, 10_000))
+    assert np.allclose(a, b, atol=1e-4)
