@@ -130,8 +130,14 @@ def _bucket(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value))
 
 
-def learn(labelled: DataFrame, max_rules: int = 8, max_literals: int = 3, quantiles: int = 24, least_precision: float = 0.9, least_rows: int = 5) -> DecisionList:
-    """Learn from rows with a double column per feature, ``bad`` (boolean) and ``grow`` (boolean)."""
+def learn(labelled: DataFrame, max_literals: int = 3, quantiles: int = 24, least_precision: float = 0.9, least_rows: int = 5) -> DecisionList:
+    """Learn from rows with a double column per feature, ``bad`` (boolean) and ``grow`` (boolean).
+
+    Rules have ``max_literals`` at most, their thresholds come from ``quantiles`` of
+    each feature and class.  Their number has no limit: the list ends when no literal
+    gains anything, or when a rule is too imprecise on the pruning rows or rejects
+    fewer than ``least_rows`` bad ones of them, so each rule uses some up.
+    """
     names = [c for c in labelled.columns if c not in ("bad", "grow")]
     values = {n: F.col(f"`{n}`") for n in names}
     steps = [k / (quantiles + 1) for k in range(1, quantiles + 1)]
@@ -170,7 +176,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_literals: int = 3, quanti
                         top = (gain, Literal(name, at_least, cut), p, n)
         return top
 
-    while len(result.rules) < max_rules:
+    while True:
         rule: list[Literal] = []
         while len(rule) < max_literals:
             _, literal, p, n = best_literal(histogram(rule))

@@ -59,3 +59,13 @@ def test_edge_cases(spark, docs, no_docs):
     assert rules.judge(no_docs, labels, "_s", "_k")[0].count() == 0
     kept = rules.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == out.where("_k").count() and kept.where("_stats = 'z' and _kept = 'z'").count() == kept.count()
+
+
+def test_as_many_rules_as_kinds_of_junk(spark):
+    kinds = 11
+    rows = [(*(20.0 + i % 5 if j == i % (2 * kinds) else float((i * 7 + j) % 5) for j in range(kinds)), i % (2 * kinds) < kinds, i // (2 * kinds) % 3 < 2) for i in range(60 * kinds)]
+    table = spark.createDataFrame(rows, ", ".join(f"f{j} double" for j in range(kinds)) + ", bad boolean, grow boolean")
+    learned = rules.learn(table)
+    keeps = learned.keeps({f"f{j}": table[f"f{j}"] for j in range(kinds)})
+    assert len(learned.rules) > 8
+    assert table.where(keeps == table["bad"]).count() == 0
