@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,20 +73,33 @@ def cluster_means(assigned: DataFrame, point: str = "point", integer: bool = Fal
     return cells.groupBy("cluster", "dim").agg((mean.cast("bigint") if integer else mean).alias("mean"))
 
 
-def kmeans(points: DataFrame, k: int, order: str = "id", point: str = "point", integer: bool = False, most_rounds: int = 100) -> tuple[list[list[float]], DataFrame]:
+def kmeans(points: DataFrame, k: int, order: str = "id", point: str = "point", integer: bool = False, most_rounds: int | None = None) -> tuple[list[list[float]], DataFrame]:
     """Lloyd's algorithm from the first ``k`` points (by ``order``) until no assignment changes.
 
     Returns the means and the assigned points. An empty cluster keeps its mean.
     Only k x dimensions numbers reach the driver in a round; assignments are
-    unchanged when the means are, so the means decide about the end.
+    unchanged when the means are.  Means that
+    come back (truncated ones can) would go round for ever: an error, as is an end
+    by ``most_rounds``.
     """
     means = [list(map(float, r[0])) for r in points.orderBy(order).limit(k).select(point).collect()]
-    for _ in range(most_rounds):
+    seen = {str(means)}
+    while True:
+        if most_rounds is not None and len(seen) > most_rounds:
+            raise RuntimeError(f"k-means: means still change after {most_rounds} rounds")
         new = [list(m) for m in means]
         for r in cluster_means(assign_nearest(points, means, point), point, integer).collect():
             new[r["cluster"]][r["dim"]] = float(r["mean"])
         if new == means:
             break
+        # Sums in another order differ in their last digits: the assignments decide.
+        if all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(new, means) for a, b in zip(x, y)):
+            was = assign_nearest(points, means, point).withColumnRenamed("cluster", "_was")
+            if assign_nearest(was, new, point).where("cluster <> _was").isEmpty():
+                break
+        if str(new) in seen:
+            raise RuntimeError("k-means: means come back without settling")
+        seen.add(str(new))
         means = new
     return means, assign_nearest(points, means, point)
 

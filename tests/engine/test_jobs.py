@@ -163,3 +163,12 @@ def test_kernels(spark, tmp_path):
 def test_print_top(spark):
     out = print_top(summarize(lines_from(spark, ["a,1,x", "a,1,x", "b,1,x"]), load_format(FORMAT)), 1)
     assert out.splitlines()[-1].split() == ["2", "a"] and "Number of logs: 3" in out
+
+
+def test_kmeans_settles_or_says_so(spark):
+    points = spark.createDataFrame([(i, [float(2**i)]) for i in range(12)], "id long, point array<double>")
+    means, assigned = kernels.kmeans(points, 2)
+    again = kernels.cluster_means(assigned).orderBy("cluster").collect()
+    assert [[r["mean"]] for r in again] == means
+    with pytest.raises(RuntimeError):
+        kernels.kmeans(points, 2, most_rounds=1)
