@@ -198,13 +198,17 @@ def digest(items: list[str]) -> str:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that are not contaminated, with all their columns as they are."""
+    """The documents without any match, with all their columns as they are.
+
+    One occurrence of a window is enough to go; the rule of a twentieth of the words
+    (``contaminated``) is for reports.
+    """
     blocks = write_blocks(benchmark, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 got = scan_shard(part.column("text"), blocks)
-                yield part.filter(pa.array(~contaminated(got["n_hit"], got["n_words"])))
+                yield part.filter(pa.array(got["n_hit"] == 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -48,7 +48,7 @@ def test_brute_force(spark, docs, doc_rows):
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == want
     kept = decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(n for (_, w, h, _), n in want.items() if not (h and 20 * h >= w))
+    assert kept.count() == sum(n for (_, _, h, _), n in want.items() if not h)
 
 
 def test_longest_match(spark):
