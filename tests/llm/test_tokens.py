@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -99,9 +100,27 @@ def test_packing(docs, encoded):
             at += length
         assert at <= capacity
     assert {k: sum(n for _, n in b) for k, b in bins.items()} == {k: len(i) // 4 for k, (n, i) in whole.items()} == {k: n for k, (n, _) in whole.items()}
+    # As many sequences as packing all lengths at once, however pieces are dealt into groups.
+    assert len(bins) == packing.best_fit_decreasing(np.array([r.length for r in pieces]), capacity)[0].max() + 1
     assert packing.pack(packing.token_pieces(docs.where("false"), WORD)).count() == 0
 
 
+def test_packing_is_global(spark):
+    """Several groups of the usual size; a third of the pieces have one length."""
+    rng = np.random.default_rng(5)
+    n = 3 * packing.GROUP
+    lengths = np.where(rng.random(n) < 1 / 3, 1500, rng.integers(1, 2700, n)).astype(np.int64)
+    rows = pd.DataFrame({"doc_id": np.arange(n), "piece": np.zeros(n, np.int32), "length": lengths, "spread": rng.integers(0, 1 << 62, n)})
+    got = packing.pack(spark.createDataFrame(rows)).toPandas()
+    where, _ = packing.best_fit_decreasing(lengths, 4096)
+    assert sorted(got["length"]) == sorted(lengths) and got["sequence_id"].nunique() == where.max() + 1
+    got = got.sort_values(["sequence_id", "offset"])
+    end = got["offset"] + got["length"]
+    assert end.max() <= 4096
+    same = got["sequence_id"].to_numpy()[1:] == got["sequence_id"].to_numpy()[:-1]
+    assert (got["offset"].to_numpy()[1:] == np.where(same, end.to_numpy()[:-1], 0)).all() and got["offset"].iloc[0] == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_decreasing_is_what_it_says(lengths):
@@ -118,6 +137,10 @@ def test_best_fit_decreasing_is_what_it_says(lengths):
         plain[i] = 50 - room
     assert [plain[i] for i in range(len(lengths))] == offset.tolist()
     assert len(rooms) == (where.max() + 1 if len(lengths) else 0)
+    # Pieces of a bin lie one after the other.
+    for b in set(where.tolist()):
+        inside = sorted((offset[i], lengths[i]) for i in np.flatnonzero(where == b))
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))]
 
 
 @pytest.mark.parametrize("hot", [0, 50, token_counts.HOT])
