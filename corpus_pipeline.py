@@ -1,8 +1,18 @@
 """A corpus pipeline of the training-data operators; every stage works on what the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``; the last
-returns a row per packed piece. Stages limit the size of Arrow batches in the session.  ``run`` writes each stage's result below the
-shared folder and reads it back, as a production job would.
+returns a row per packed piece. Stages limit the size of Arrow batches in the session.
+``run`` writes each stage's result below the shared folder and reads it back, as a
+production job would.
+
+Nulls, ties and odd tables, in every stage: a null text has no words, so the quality
+rules reject it; a null ``doc_id`` is an id like any other to rules, decontamination
+and packing, sorts first in line dedup, and never names a group in near dedup. Rows
+equal in id and text share their outcome; one of equal texts with different ids stays,
+that of the least id. An empty table of documents gives no rows, an empty benchmark
+removes nothing, and without labels of both kinds only the base rules reject. Other
+columns pass through unread, whatever their names. A text of any length is handled
+whole by the task that reads it.
 """
 
 from __future__ import annotations
@@ -39,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark passages go."""
+    """Documents that contain any window of a benchmark item go."""
     limit_batches(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
