@@ -31,9 +31,15 @@ def translate_format(fmt: str) -> tuple[str, str]:
     for short, full in SHORTHANDS.items():
         fmt = fmt.replace(short, full)
     pattern, regex = "", "^"
-    for part in re.findall(r"%.|[^%]+|%", fmt):
+    parts = re.findall(r"%.|[^%]+|%", fmt)
+    for k, part in enumerate(parts):
         if part in DIRECTIVES:
-            pattern, regex = pattern + DIRECTIVES[part][0], regex + DIRECTIVES[part][1]
+            letters, digits = DIRECTIVES[part]
+            # Numbers with nothing between them have their full width.
+            if digits.startswith("[0-9]") and any(DIRECTIVES.get(p, ("", ""))[1].startswith("[0-9]") for p in (*parts[max(0, k - 1) : k], *parts[k + 1 : k + 2])):
+                width = 4 if part == "%Y" else 2
+                letters, digits = letters[0] * width, f"[0-9]{{{width}}}"
+            pattern, regex = pattern + letters, regex + digits
         elif part.startswith("%") and part != "%%":
             raise ValueError(f"date format {fmt!r}: {part} is not supported")
         else:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logmill.plans.spec import FieldSpec
+from logmill.plans.spec import AGGREGATIONS, FieldSpec
 
 Aggregator = Callable[[Column, FieldSpec], Column]
 
@@ -42,7 +42,9 @@ AGGREGATORS: dict[str, Aggregator] = {"sum": _sum, "max": _max, "mean": _mean, "
 
 
 def register_aggregation(name: str, aggregator: Aggregator) -> None:
+    """Make an aggregation available to formats under ``name``."""
     AGGREGATORS[name] = aggregator
+    AGGREGATIONS.add(name)
 
 
 def single_ratio(numerator: Column, denominator: Column) -> Column:

@@ -10,7 +10,8 @@ from pathlib import Path
 from typing import Any
 
 TYPES = ("int", "float", "string", "date", "time", "url", "bool")
-AGGREGATIONS = ("sum", "max", "mean", "variance", "count", "union", "union_count", "ratio")
+#: Names that a format may use; registering an aggregation adds one.
+AGGREGATIONS = {"sum", "max", "mean", "variance", "count", "union", "union_count", "ratio"}
 PROCESSINGS = ("day", "month", "year", "hour", "minute", "second")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logmill.functions.text import chomp
+
 #: Columns of a line source: the line, the file it is from, its order.
 LINE, FILE, ORDER = "line", "file", "_order"
 
@@ -26,7 +28,7 @@ def _options(header: bool, comment: str) -> dict[str, str]:
 
 def _clean(lines: DataFrame, *more: Column) -> DataFrame:
     line = F.regexp_replace(LINE, "\r$", "")
-    return lines.select(line.alias(LINE), *more).where(F.trim(LINE) != "")
+    return lines.select(line.alias(LINE), *more).where(chomp(F.col(LINE)) != "")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], header: bool = False, comment: str = "") -> DataFrame:

@@ -4,10 +4,12 @@ import json
 
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
+from logmill.operators.aggregate import register_aggregation
 from logmill.operators.summarize import malformed, observed, summarize
 from logmill.operators.top import top_keys, totals
-from logmill.plans.spec import load_format
+from logmill.plans.spec import SpecError, load_format
 from logmill.sinks.render import json_lines
 from logmill.sources.text import lines_from
 
@@ -98,6 +100,13 @@ def test_match_file(spark, tmp_path, monkeypatch, literal):
             assert sorted(rows(spark, FILE, match(match_file=str(words), logic=logic, exact=exact))) == ([] if logic == "and" and not exact else ["2", "3"])
 
 
+def test_registered_aggregation(spark):
+    with pytest.raises(SpecError):
+        fmt(agg("v", 1, "int", "smallest"))
+    register_aggregation("smallest", lambda x, f: F.min(x))
+    assert rows(spark, PAIRS, fmt(agg("v", 1, "int", "smallest")))["1"].v == 1
+
+
 def test_or_group(spark):
     f = fmt(
         {"name": "a", "pos": 1, "type": "string", "match": {"match_str": "x", "logic": "or"}},
@@ -118,7 +127,7 @@ def test_unions(spark):
 
 def test_malformed_first_appname_content(spark):
     f = fmt({"name": "s", "pos": 2, "type": "string"}, appname="app")
-    source = lines_from(spark, ["1,a,first", "1,short", "1,b,second", "#c,x,y", "", "  "], comment="#")
+    source = lines_from(spark, ["1,a,first", "1,short", "1,b,second", "#c,x,y", "", "  ", "\t", " \x0b\t"], comment="#")
     r = summarize(source, f, store_content=True).collect()
     assert [(x._key, x.id, x.s, x.logs, x.appname, x._content) for x in r] == [("1_app", "1", "first", 2, "app", "1,a,first\n1,b,second\n")]
     assert malformed(source, f).count() == 1
@@ -140,34 +149,29 @@ def test_by_file_and_case(spark):
     assert tuple(totals(summarize(two, f)).collect()[0]) == (3, 4)
 
 
-PROXY = {
-    "format_name": "proxy",
-    "delims": " ",
-    "quotechar": '"',
-    "commentchar": "#",
+LIBRARY = {
+    "format_name": "library", "delims": ",", "quotechar": '"', "commentchar": "%",
     "fields": [
-        {"name": "date", "pos": 0, "type": "date", "date_format": "%Y-%m-%d", "key": True, "processing": "day"},
-        {"name": "time", "pos": 1, "type": "time", "key": True, "processing": "hour"},
-        {"name": "bytes", "pos": 2, "type": "int", "aggregated": True, "aggregation": "mean"},
-        {"name": "user", "pos": 3, "type": "string", "key": True},
-        {"name": "cs(User-Agent)", "pos": 4, "type": "string"},
-        {"name": "categories", "pos": "5", "type": "string", "aggregated": "true", "aggregation": "union"},
+        {"name": "branch", "pos": 0, "type": "string", "key": True},
+        {"name": "hour", "pos": 1, "type": "time", "key": True, "processing": "hour", "processing_offset": 12},
+        {"name": "title", "pos": 2, "type": "string"},
+        {"name": "days", "pos": 3, "type": "int", "aggregated": True, "aggregation": "mean"},
+        {"name": "shelves", "pos": "4", "type": "string", "aggregated": "true", "aggregation": "union"},
     ],
-}
+}
 
 
-def test_quoted_proxy_lines(spark):
+def test_quoted_fields(spark):
     lines = [
-        "#Fields: date time",
-        '2012-11-30 23:00:00 1130 - "Mozilla/5.0 (Windows NT 5.1)" "none"',
-        '2012-11-30 23:00:05 1453 - "Mozilla/5.0 (Windows NT 5.1)" "none"',
-        '2012-11-30 23:01:00 2956 u1 "M 1" "Information Technology"',
-        '2012-11-30 23:59:59 1165 u1 "M 2" Advertisements extra "tokens here"',
+        "% branch, hour, title, days, shelves",
+        'east,09:15:00,"Dune, part 2",21,"sci fi"',
+        'east,11:59:59,"Emma",10,"novels"',
+        'west,12:00:00,Ulysses,7,novels,"more, here"',
+        'west,23:00:00,"It",8,"a, b"',
     ]
-    r = rows(spark, lines[1:], load_format(PROXY))
-    assert sorted(r) == ["2012-11-30_23_-", "2012-11-30_23_u1"]
-    assert (r["2012-11-30_23_-"].bytes, r["2012-11-30_23_u1"].bytes) == (1291.5, 2060.5)
-    assert r["2012-11-30_23_u1"].categories == ["Advertisements", "Information Technology"]
-    assert r["2012-11-30_23_u1"]["cs(User-Agent)"] == "M 1" and r["2012-11-30_23_-"].logs == 2
-    assert r["2012-11-30_23_-"].std_date_dt == "2012-11-30T23:00:00Z"
-    assert summarize(lines_from(spark, lines, comment="#"), load_format(PROXY)).count() == 2
+    r = rows(spark, lines[1:], load_format(LIBRARY))
+    assert sorted(r) == ["east_00", "west_12"]
+    assert (r["east_00"].days, r["west_12"].days) == (15.5, 7.5)
+    assert r["east_00"].title == "Dune, part 2" and r["east_00"].shelves == ["novels", "sci fi"] and r["west_12"].shelves == ["a, b", "novels"]
+    assert r["east_00"].std_date_dt == "0000-00-00T00:00:00Z" and r["west_12"].std_date_dt == "0000-00-00T12:00:00Z"
+    assert summarize(lines_from(spark, lines, comment="%"), load_format(LIBRARY)).count() == 2
