@@ -81,5 +81,6 @@ def fold_key(parts: Sequence[Column], appname: str = "") -> Column:
 
 
 def shift_letters(text: Column, by: int = 5) -> Column:
-    """Each character moved ``by`` places (single-byte code points)."""
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.char(F.ascii(c) + by)), "")
+    """Each character up to U+00FF moved ``by`` places on; others stay."""
+    plain = [chr(i) for i in range(1, 256)]
+    return F.translate(text, "".join(plain), "".join(chr(ord(c) + by) for c in plain))

@@ -105,19 +105,26 @@ def kmeans(points: DataFrame, k: int, order: str = "id", point: str = "point", i
 
 
 def row_covariance(matrix: DataFrame, integer: bool = False) -> DataFrame:
-    """``i, j, cov`` for ``i <= j``: covariance of the rows of a matrix in coordinates (i, j, v).
+    """``i, j, cov`` for ``i <= j``: covariance of the rows of a matrix in coordinates (i, j, v); absent cells are 0, as in ``matrix_product``.
 
     Sums of products over the columns are divided by the number of rows less one.
-    Integer means and results truncate, as the small-integer variant has it.
+    Integer means and results truncate, as the small-integer variant has it.  An
+    empty matrix gives no rows.
     """
     width, height = matrix.agg(F.max("j") + 1, F.max("i") + 1).collect()[0]
     mean = F.sum("v") / F.lit(width)
-    means = matrix.groupBy("i").agg((mean.cast("bigint") if integer else mean).alias("m"))
-    centred = matrix.join(means, "i").select("i", "j", (F.col("v") - F.col("m")).alias("d"))
-    left, right = centred.select("i", F.col("j").alias("c"), "d"), centred.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("d").alias("e"))
-    cov = F.sum(F.col("d") * F.col("e")) / F.lit(max(1, height - 1))
-    pairs = left.join(right, "c").where("i <= k").groupBy("i", "k").agg((cov.cast("bigint") if integer else cov).alias("cov"))
-    return pairs.select("i", F.col("k").alias("j"), "cov")
+    sums = matrix.groupBy("i").agg(F.sum("v").alias("s"), (mean.cast("bigint") if integer else mean).alias("m"))
+    x, y = (matrix.select(F.col("i").alias(i), F.col("j").alias("c"), F.col("v").alias(v)) for i, v in (("i", "x"), ("k", "y")))
+    products = x.join(y, "c").where("i <= k").groupBy("i", "k").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    # All pairs of rows are the result itself; a row without cells has sum and mean 0.
+    rows = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((height or 0) - 1))).alias("i")
+    every = matrix.sparkSession.range(1).select(rows) if height else matrix.select(F.col("i").cast("bigint").alias("i")).where("false")
+    pairs = every.select("i", F.explode(F.sequence("i", F.lit((height or 1) - 1))).alias("k"))
+    other = sums.select(F.col("i").alias("k"), F.col("s").alias("sk"), F.col("m").alias("mk"))
+    joined = pairs.join(sums, "i", "left").join(other, "k", "left").join(products, ["i", "k"], "left")
+    s, m, sk, mk, p = (F.coalesce(F.col(c), F.lit(0)) for c in ("s", "m", "sk", "mk", "p"))
+    cov = (p - mk * s - m * sk + F.lit(width) * m * mk) / F.lit(max(1, (height or 0) - 1))
+    return joined.select("i", F.col("k").alias("j"), (cov.cast("bigint") if integer else cov).alias("cov"))
 
 
 def column_covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.plans.spec import FieldSpec, LogFormat, MatchSpec, SpecError
+from logmill.plans.spec import FieldSpec, LogFormat, MatchSpec
 
 #: Words of a file up to which they become literals of an expression.
 LITERAL_WORDS = 1000
@@ -27,20 +27,14 @@ def contains_all(token: Column, words: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(token, w)) if words else F.lit(True)
 
 
-def _in_blocks(words: list[str], test, combine) -> Column:
-    """A test over many words as tests over blocks of them."""
-    blocks = [words[i : i + LITERAL_WORDS] for i in range(0, len(words), LITERAL_WORDS)] or [[]]
-    return reduce(combine, (test(b) for b in blocks))
-
-
 def literal_match(token: Column, match: MatchSpec, words: list[str]) -> Column:
     """Whether the row passes this match alone."""
     if match.exact:
         hit = token.isin(words) if words else F.lit(False)
     elif match.negative or match.logic == "or":
-        hit = _in_blocks(words, lambda b: contains_any(token, b), lambda a, b: a | b)
+        hit = contains_any(token, words)
     else:
-        hit = _in_blocks(words, lambda b: contains_all(token, b), lambda a, b: a & b)
+        hit = contains_all(token, words)
     return ~hit if match.negative else hit
 
 
@@ -48,15 +42,36 @@ def _token(field: FieldSpec) -> Column:
     return F.get(F.col("tokens"), F.lit(field.pos))
 
 
+def tokens_containing(found: DataFrame, listed: DataFrame, all_words: bool) -> DataFrame:
+    """``word``: the distinct tokens of ``found`` (word) that contain a word of ``listed`` (word), or all of them.
+
+    For lists of any size: the substrings of a token that have the length of a listed
+    word meet the list in an equality join, so no list is held by a task or the driver.
+    """
+    lengths = sorted(r["n"] for r in listed.select(F.length("word").alias("n")).distinct().collect())  # few: one row per length
+
+    def parts(n: int) -> Column:
+        starts = F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring("word", i, F.lit(n))))
+
+    tokens = found.distinct()
+    cut = tokens.select(F.col("word").alias("token"), F.explode(F.flatten(F.array(*map(parts, lengths)))).alias("word"))
+    met = cut.join(listed, "word")
+    if not all_words:
+        return met.select(F.col("token").alias("word")).distinct()
+    return met.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == listed.count()).select(F.col("token").alias("word"))
+
+
 def apply_matches(df: DataFrame, fmt: LogFormat) -> DataFrame:
     """Keep rows that pass every ``and`` match (and every match of a key field) and, if there are any, one ``or`` match.
 
-    Long exact word lists become joins, which Spark broadcasts if their size allows;
-    a lone ``and`` match is a semi or anti join.
+    Long word lists become joins, which Spark broadcasts if their size allows; a lone
+    ``and`` match is a semi or anti join.
     """
     must: list[Column] = []
     may: list[Column] = []
     dropped: list[str] = []
+    source = df
     for i, f in enumerate(fmt.fields):
         if f.match is None or f.is_contain:
             continue
@@ -64,7 +79,10 @@ def apply_matches(df: DataFrame, fmt: LogFormat) -> DataFrame:
         if f.match.match_file:
             listed = words_of_file(df, f.match.match_file)
             few = [r["word"] for r in listed.limit(LITERAL_WORDS + 1).collect()]
-            if f.match.exact and len(few) > LITERAL_WORDS:
+            if len(few) > LITERAL_WORDS:
+                if not f.match.exact:
+                    all_words = not f.match.negative and f.match.logic != "or"
+                    listed = tokens_containing(source.select(token.alias("word")), listed, all_words)
                 if required:
                     df = df.join(listed, token == F.col("word"), "left_anti" if f.match.negative else "left_semi")
                 else:
@@ -74,10 +92,6 @@ def apply_matches(df: DataFrame, fmt: LogFormat) -> DataFrame:
                     hit = F.coalesce(F.col(flag), F.lit(False))
                     may.append(~hit if f.match.negative else hit)
                 continue
-            if len(few) > LITERAL_WORDS:
-                few = [r["word"] for r in listed.toLocalIterator()]
-                if len(few) > 100 * LITERAL_WORDS:
-                    raise SpecError(f"{f.name}: a substring list of {len(few)} words; use exact matching for lists of this size")
             condition = literal_match(token, f.match, sorted(few))
         else:
             condition = literal_match(token, f.match, [f.match.match_str])

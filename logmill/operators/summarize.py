@@ -160,8 +160,11 @@ def _group_with_counts(rows: DataFrame, fmt: LogFormat, by_file: bool, plain: li
 
 
 def _pairs_of(values: Column) -> Column:
-    """(value, count) pairs of a list of values."""
-    return F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v.alias("v"), F.size(F.filter(values, lambda w: w == v)).cast("bigint").alias("c")))
+    """(value, count) pairs of a list of values, from one sort of it."""
+    ordered = F.sort_array(values)
+    edges = F.filter(F.sequence(F.lit(0), F.size(values)), lambda i: (i == 0) | (i == F.size(values)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    pairs = F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda i, k: F.struct(F.get(ordered, i).alias("v"), (F.get(edges, k + 1) - i).cast("bigint").alias("c")))
+    return F.when(F.size(values) > 0, pairs).otherwise(F.slice(pairs, F.lit(1), F.lit(0)))
 
 
 def derive(grouped: DataFrame, fmt: LogFormat, by_file: bool = False, streaming: bool = False) -> DataFrame:
@@ -233,7 +236,12 @@ def prepare(lines: DataFrame, fmt: LogFormat) -> DataFrame:
 
 def summarize(lines: DataFrame, fmt: LogFormat, by_file: bool = False, store_content: bool = False) -> DataFrame:
     """The whole query over a batch source, a row per key (and file)."""
-    rows, plain = prepare(lines, fmt), aggregates(fmt, store_content)
+    return grouped(prepare(lines, fmt), fmt, by_file, store_content)
+
+
+def grouped(rows: DataFrame, fmt: LogFormat, by_file: bool = False, store_content: bool = False) -> DataFrame:
+    """The summary of rows that ``prepare`` has parsed."""
+    plain = aggregates(fmt, store_content)
     if union_count_fields(fmt):
         return derive(_group_with_counts(rows, fmt, by_file, plain), fmt, by_file)
     return derive(rows.groupBy(*group_columns(fmt, by_file)).agg(*plain), fmt, by_file)

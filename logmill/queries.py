@@ -6,7 +6,6 @@ summarises them. Doubles are rounded, lists are joined text, so that values comp
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +13,18 @@ from pyspark.sql import functions as F
 
 from logmill.functions import exploders, text, urls
 from logmill.operators import kernels
+from logmill.operators.aggregate import register_aggregation
 from logmill.operators.match import apply_matches, contains_any
+from logmill.operators.order import dealt, numbered
 from logmill.operators.summarize import summarize, tokenize
 from logmill.operators.top import top_keys, totals
+from logmill.plans import job
 from logmill.plans.spec import LogFormat, load_format
 from logmill.sinks.render import csv_frame, json_lines, text_lines
-from logmill.sources.binary import random_words
-from logmill.sources.text import lines_of_table, read_lines, tokens_of_table
+from logmill.sinks.write import post_lines, print_top
+from logmill.sources.binary import grid_points, random_words, read_bitmaps, read_points
+from logmill.sources.scratch import file_system, new_folder
+from logmill.sources.text import lines_from, lines_of_table, read_lines, tokens_of_table
 from logmill.streaming.incremental import start_to_table, summarize_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,11 +219,8 @@ def match_exact_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_file(spark: SparkSession, words: DataFrame) -> str:
-    """Words as a text file below the shared folder (a local one where none is named)."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='logmill-words-')}"
-    path = f"{root.rstrip('/')}/words-{uuid.uuid4().hex}"
+    """Words as a text file below the shared folder."""
+    path = new_folder(spark, "words")
     words.select(F.col(words.columns[0]).cast("string").alias("value")).write.text(path)
     return path
 
@@ -243,10 +244,10 @@ def match_list_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "match_substring_anti",
-    """SELECT p_brand AS id, count(*)::BIGINT AS logs FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey < 4 AND contains(p.p_name, string_split(q.p_name, ' ')[1])) GROUP BY 1""",
+    """SELECT p_brand AS id, count(*)::BIGINT AS logs FROM part p WHERE NOT EXISTS (SELECT 1 FROM customer WHERE contains(p.p_name, lower(substr(c_mktsegment, 1, 2)))) GROUP BY 1""",
 )
 def match_substring_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _word_file(spark, table(spark, sf_dir, "part").where("p_partkey < 4").select(F.split("p_name", " ")[0]))
+    words = _word_file(spark, table(spark, sf_dir, "customer").select(F.lower(F.substring("c_mktsegment", 1, 2))))
     return _parts(spark, sf_dir, (2, {"match_file": words, "logic": "and", "negative": True}))
 
 
@@ -554,13 +555,10 @@ def random_words_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
     """Orders as two kinds of text files with a header, comments and blank lines, below the shared folder."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='logmill-logs-')}"
-    folder = f"{root.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "logs")
     orders = table(spark, sf_dir, "orders").repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey")
     row = F.concat_ws(",", F.col("o_orderstatus"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(',x"')), F.col("o_orderkey").cast("string"))
-    noise = F.when(F.col("o_orderkey") % 5 == 0, F.lit("# a comment")).when(F.col("o_orderkey") % 7 == 0, F.lit("   ")).otherwise(F.lit("bad line"))
+    noise = F.when(F.col("o_orderkey") % 5 == 0, F.lit("# a comment")).when(F.col("o_orderkey") % 7 == 0, F.lit("   ")).when(F.col("o_orderkey") % 11 == 0, F.lit("\t \x0b")).otherwise(F.lit("bad line"))
     lines = orders.select(F.explode(F.array(row, noise)).alias("value"))
 
     def with_header(batches):
@@ -608,6 +606,248 @@ def data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PRICES = "(SELECT DISTINCT CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) AS w FROM customer)"
+
+
+@query("match_long_list", f"SELECT o_orderstatus AS id, count(*)::BIGINT AS logs FROM orders WHERE NOT EXISTS (SELECT 1 FROM {_PRICES} WHERE contains(CAST(o_totalprice AS VARCHAR), w)) GROUP BY 1")
+def match_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substring list that becomes a join where it has more than a thousand words."""
+    words = _word_file(spark, table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("bigint")))
+    lines = lines_of_table(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_totalprice"])
+    match = {"match_file": words, "logic": "and", "negative": True}
+    return summarize(lines, _format(_key("status", 0), _field("price", 1, match=match))).select("id", "logs")
+
+
+@query("registered_aggregation", "SELECT CAST(o_custkey AS VARCHAR) AS id, min(o_totalprice) AS least FROM orders GROUP BY 1")
+def registered_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregation of one's own, named by a format."""
+    register_aggregation("least", lambda x, f: F.min(x))
+    lines = lines_of_table(table(spark, sf_dir, "orders"), ["o_custkey", "o_totalprice"])
+    return summarize(lines, _format(_key("customer", 0), _field("least", 1, "float", "least"))).select("id", "least")
+
+
+@query("registered_exploder", "SELECT CAST(o_custkey AS VARCHAR) AS id, arg_min(o_orderpriority[1:1], o_orderkey) AS level, arg_min(o_orderpriority[3:], o_orderkey) AS name FROM orders GROUP BY 1")
+def registered_exploder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of one's own: a field that unfolds into others."""
+    exploders.register_exploder("level", lambda token, tail: F.create_map(F.lit("level"), F.substring_index(token, "-", 1), F.lit("name"), F.regexp_extract(token, "-(.*)", 1)))
+    lines = lines_of_table(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], order=F.col("o_orderkey"))
+    out = summarize(lines, _format(_key("customer", 0), _field("priority", 1, preprocessing="level")))
+    return out.select("id", F.col("extra")["level"].alias("level"), F.col("extra")["name"].alias("name"))
+
+
+@query("auto_position", f"SELECT {_BY_FLAGS}, sum(CAST(l_quantity AS BIGINT))::BIGINT AS qty FROM lineitem GROUP BY 1")
+def auto_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields without positions are numbered as they come."""
+    fields = [{"name": "flag", "type": "string", "key": True}, {"name": "status", "type": "string", "key": True}, {"name": "qty", "type": "int", "aggregated": True, "aggregation": "sum"}]
+    return summarize(_lineitem(spark, sf_dir, "l_quantity"), _format(*fields)).select("id", "qty")
+
+
+@query("date_bad", f"SELECT CASE WHEN event_id % 3 = 0 THEN 'no ' || event_type ELSE {_DAY} END AS id, count(*)::BIGINT AS logs FROM events GROUP BY 1")
+def date_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that are no dates stay as they are."""
+    token = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no "), "event_type")).otherwise(_event_time())
+    fmt = _format(_key("date", 0, "date", date_format="%Y-%m-%d %H:%M:%S", processing="day"))
+    return summarize(lines_of_table(table(spark, sf_dir, "events"), [token]), fmt).select("id", "logs")
+
+
+@query("time_bad", "SELECT CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%H') END AS id, count(*)::BIGINT AS logs FROM events GROUP BY 1")
+def time_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without three parts stay as they are."""
+    token = F.when(F.col("event_id") % 3 == 0, _event_time("HH:mm")).otherwise(_event_time("HH:mm:ss"))
+    return summarize(lines_of_table(table(spark, sf_dir, "events"), [token]), _format(_key("time", 0, "time", processing="hour"))).select("id", "logs")
+
+
+@query("trimmed_text", "SELECT n_nationkey, n_name || ' x' AS trimmed FROM nation")
+def trimmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat(F.lit(" \t\r"), "n_name", F.lit(" x\n \x0b\f"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.chomp(padded).alias("trimmed"))
+
+
+@query("buffer_lines", "SELECT * FROM (VALUES ('a', CAST(5 AS BIGINT), CAST(2 AS BIGINT)), ('b', CAST(3 AS BIGINT), CAST(1 AS BIGINT))) t(id, total, logs)")
+def buffer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in memory: a header, a comment, blank lines and a malformed one among them."""
+    source = lines_from(spark, ["key|n", "a|1", "#a|9", "", "\t", "bad", "b|3", "a|4"], header=True, comment="#")
+    return summarize(source, _format(_key("k", 0), _field("total", 1, "int", "sum"))).select("id", "total", "logs")
+
+
+def _file_of_each(spark: SparkSession, sf_dir: str) -> str:
+    """Nations and regions as text files in folders of their names."""
+    folder = new_folder(spark, "files")
+    for name, column in (("nation", "n_regionkey"), ("region", "r_regionkey")):
+        table(spark, sf_dir, name).select(F.col(column).cast("string").alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+    return folder
+
+
+@query("per_file_real", f"SELECT f AS file, CAST(k AS VARCHAR) AS id, count(*)::BIGINT AS logs FROM {_BOTH} GROUP BY 1, 2")
+def per_file_real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results per input file, told apart by the files' own paths."""
+    folder = _file_of_each(spark, sf_dir)
+    lines = read_lines(spark, [f"{folder}/nation", f"{folder}/region"])
+    out = summarize(lines, _format(_key("k", 0)), by_file=True)
+    return out.select(F.regexp_extract("_file", "/(nation|region)/[^/]*$", 1).alias("file"), "id", "logs")
+
+
+_JOB_FORMAT = '{"format_name": "job", "delims": "|", "fields": [{"name": "k", "pos": 0, "type": "string", "key": true}]}'
+
+
+@query(
+    "job_snapshots",
+    """SELECT CAST(1 AS BIGINT) AS files, CAST(n_regionkey AS VARCHAR) AS id, count(*)::VARCHAR AS logs FROM nation GROUP BY ALL
+    UNION ALL SELECT 2, CAST(k AS VARCHAR), count(*)::VARCHAR FROM (SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) GROUP BY ALL""",
+)
+def job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job by its options, with running totals after each file: the snapshot after one and the result after two."""
+    folder, out = _file_of_each(spark, sf_dir), new_folder(spark, "snapshots")
+    options = ["-fnames", f"{folder}/nation,{folder}/region", "-format_name", _JOB_FORMAT, "-output_format", "csv", "-ofname", f"{out}/all", "-merge_results", "-tmp_save", "-quiet"]
+    job.run(spark, job.parse_options(options))
+    read = lambda path, n: spark.read.option("header", True).csv(path).select(F.lit(n).cast("bigint").alias("files"), "id", "logs")
+    return read(f"{out}/all-00001", 1).unionByName(read(f"{out}/all", 2))
+
+
+@query("job_json", "SELECT CAST(k AS VARCHAR) AS id, count(*)::BIGINT AS logs FROM (SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) GROUP BY ALL")
+def job_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's JSON files, read back."""
+    folder, out = _file_of_each(spark, sf_dir), new_folder(spark, "job")
+    options = ["-fnames", f"{folder}/nation,{folder}/region", "-format_name", _JOB_FORMAT, "-output_format", "json", "-ofname", out, "-merge_results", "-quiet"]
+    job.run(spark, job.parse_options(options))
+    return spark.read.schema("id string, logs long").json(out)
+
+
+@query("top_text", "SELECT 'Number of keys: ' || count(DISTINCT user_id) AS line FROM events UNION ALL SELECT 'Number of logs: ' || count(*) FROM events UNION ALL SELECT lpad(CAST(logs AS VARCHAR), 12, ' ') || ' ' || id FROM (SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS logs FROM events GROUP BY 1 ORDER BY logs DESC, id LIMIT 3)")
+def top_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job prints: totals and the top keys."""
+    shown = print_top(summarize(_users(spark, sf_dir), _format(_key("user", 0))), 3)
+    return spark.createDataFrame([(x,) for x in shown.splitlines()], "line string")
+
+
+@query("http_bulk_load", "SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(0 AS BIGINT) AS failed FROM nation")
+def http_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents posted in bulk to an endpoint on the driver's host; what has arrived there."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    arrived: list[str] = []
+
+    class Endpoint(BaseHTTPRequestHandler):
+        def do_POST(self) -> None:
+            arrived.extend(d["id"] for d in json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *args) -> None:
+            pass
+
+    host = spark.conf.get("spark.driver.host")
+    server = ThreadingHTTPServer((host, 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        failed = post_lines(json_lines(_nations(spark, sf_dir)), f"http://{host}:{server.server_port}", batch=10).collect()[0]["failed"]
+    finally:
+        server.shutdown()
+    return spark.createDataFrame([(i, failed) for i in arrived], "id string, failed long")
+
+
+@query("words_in_order", f"SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS place FROM (SELECT word, count(*)::BIGINT AS n FROM {_WORDS} GROUP BY 1)")
+def words_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole word count by falling number, then word."""
+    return numbered(kernels.word_count(table(spark, sf_dir, "documents")), F.desc("n"), "word")
+
+
+@query("words_by_name", f"SELECT word, n, row_number() OVER (ORDER BY word) - 1 AS place FROM (SELECT word, count(*)::BIGINT AS n FROM {_WORDS} GROUP BY 1)")
+def words_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole word count in the order of the words."""
+    return numbered(kernels.word_count(table(spark, sf_dir, "documents")), "word")
+
+
+@query("summary_in_order", "SELECT id, logs, row_number() OVER (ORDER BY id) - 1 AS place FROM (SELECT CAST(o_custkey AS VARCHAR) AS id, count(*)::BIGINT AS logs FROM orders GROUP BY 1)")
+def summary_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = lines_of_table(table(spark, sf_dir, "orders"), ["o_custkey"])
+    return numbered(summarize(lines, _format(_key("customer", 0))).select("id", "logs"), "id")
+
+
+@query("histogram_in_order", "SELECT channel, value, n, row_number() OVER (ORDER BY channel, value) - 1 AS place FROM (SELECT l_returnflag AS channel, CAST(l_quantity AS BIGINT) AS value, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2)")
+def histogram_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel's output by key."""
+    return numbered(histogram(spark, sf_dir), "channel", "value")
+
+
+@query("dealt_rows", "SELECT CAST(o_custkey % 5 AS INT) AS part, count(*)::BIGINT AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def dealt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt to partitions by a rule of one's own; a partition is a group."""
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 5, F.col("o_custkey"))
+    return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+def _write_bytes(rows: DataFrame, folder: str, to_bytes: Callable) -> None:
+    """A file per non-empty partition below ``folder``; ``to_bytes`` gets its integer columns as an array."""
+
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [np.stack([c.to_numpy() for c in b.columns], 1) for b in batches if b.num_rows]
+        if parts:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            fs, local = file_system(path)
+            fs.create_dir(local.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(local, compression=None) as out:
+                out.write(to_bytes(np.concatenate(parts)))
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    rows.mapInArrow(run, "path string").count()
+
+
+def _bitmap(pixels) -> bytes:
+    import struct
+
+    import numpy as np
+
+    head = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + pixels.size, 0, 0, 54, 40, len(pixels), 1, 1, 24, 0, pixels.size, 0, 0, 0, 0)
+    return head + pixels.astype(np.uint8).tobytes()
+
+
+@query(
+    "bitmap_histogram",
+    """SELECT k::BIGINT AS key, count(*)::BIGINT AS n FROM (SELECT unnest([1000 + p_size, 2000 + p_partkey % 256, 3000 + (p_partkey + p_size) % 256]) AS k FROM part) GROUP BY 1""",
+)
+def bitmap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pixels of bitmap files: how often each value of each colour occurs, by numeric key."""
+    folder = new_folder(spark, "bitmaps")
+    pixels = table(spark, sf_dir, "part").select(F.col("p_size").cast("long"), F.col("p_partkey").cast("long") % 256, (F.col("p_partkey") + F.col("p_size")).cast("long") % 256)
+    _write_bytes(pixels.repartition(3), folder, _bitmap)
+    counts = read_bitmaps(spark, folder)
+    return counts.groupBy(kernels.channel_key(F.col("channel"), F.col("value")).cast("bigint").alias("key")).agg(F.sum("n").alias("n"))
+
+
+def _signed_bytes(pairs) -> bytes:
+    import numpy as np
+
+    return pairs.astype(np.int8).tobytes()
+
+
+@query(
+    "byte_pair_regression",
+    """SELECT count(*)::BIGINT AS n, round(regr_intercept(y, x), 6) AS a, round(regr_slope(y, x), 6) AS b, round(regr_r2(y, x), 6) AS r2
+    FROM (SELECT CAST(l_quantity AS BIGINT) - 25 AS x, l_linenumber * 3 - CAST(l_quantity AS BIGINT) AS y FROM lineitem)""",
+)
+def byte_pair_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as files of signed byte pairs, and a line through them."""
+    folder = new_folder(spark, "pairs")
+    x, y = F.col("l_quantity").cast("long") - 25, F.col("l_linenumber").cast("long") * 3 - F.col("l_quantity").cast("long")
+    _write_bytes(table(spark, sf_dir, "lineitem").select(x.alias("x"), y.alias("y")).repartition(3), folder, _signed_bytes)
+    r = kernels.linear_regression(read_points(spark, folder))
+    return r.select("n", *(F.round(c, 6).alias(c) for c in ("a", "b", "r2")))
+
+
+@query("grid_points", "SELECT i::BIGINT AS id, j::BIGINT AS j, (i * j % 100 + 1)::BIGINT AS v FROM range(500) a(i), range(3) b(j)")
+def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = grid_points(spark, 500, 3, 100).select("id", F.posexplode("point").alias("j", "v"))
+    return points.select("id", F.col("j").cast("bigint").alias("j"), F.col("v").cast("bigint").alias("v"))
+
+
 def kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows-only: the whole iteration has no SQL."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("point"))
@@ -647,9 +887,8 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = events.option("pathGlobFilter", "events*.parquet").parquet(sf_dir) if _is_file(spark, folder) else events.parquet(folder)
     lines = lines_of_table(source, ["user_id", "value"], order=F.col("event_id"))
     name = f"stream_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='logmill-stream-')}"
     out = summarize_stream(lines, _format(_key("user", 0), _field("total", 1, "float", "sum"))).select("id", "logs", F.round("total", 4).alias("total"))
-    start_to_table(out, name, f"{root.rstrip('/')}/{name}").awaitTermination()
+    start_to_table(out, name, new_folder(spark, "stream")).awaitTermination()
     return spark.table(name)
 
 

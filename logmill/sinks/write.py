@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import urllib.error
 import urllib.request
@@ -121,11 +120,3 @@ def fetch_all(urls: DataFrame, column: str = "url", timeout: float = 30.0, attem
             yield pa.RecordBatch.from_pydict({"url": pa.array(found, pa.string()), "status": pa.array(status, pa.int32()), "body": pa.array(bodies, pa.string())})
 
     return urls.select(column).mapInArrow(run, "url string, status int, body string")
-
-
-def is_json(text: str) -> bool:
-    try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True

@@ -10,6 +10,7 @@ import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -17,6 +18,8 @@ from logmill.plans.spec import LogFormat, load_format
 
 #: Bytes of a file per task.
 SPLIT = 64 << 20
+#: Rows of a batch.
+BATCH = 8192
 
 
 @dataclass
@@ -51,8 +54,16 @@ class LogReader(DataSourceReader):
             out += [FileRange(uri, a, min(size, a + self.split)) for a in range(0, max(size, 1), self.split)]
         return out
 
-    def read(self, part: FileRange) -> Iterator[tuple]:
-        """Lines that begin inside the range, whole."""
+    def read(self, part: FileRange) -> Iterator:
+        """Lines that begin inside the range, whole, as Arrow batches."""
+        import pyarrow as pa
+
+        wanted = [f for f in self.fmt.fields if not f.is_ratio and not f.is_contain]
+        rows, names = self._rows(part, [f.pos for f in wanted]), [f.name for f in wanted]
+        while held := list(islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], pa.string()) for k in range(len(names))], names)
+
+    def _rows(self, part: FileRange, places: list[int]) -> Iterator[list[str]]:
         from pyarrow import fs
 
         uri = part.path
@@ -79,7 +90,7 @@ class LogReader(DataSourceReader):
                     continue
                 tokens = _split_line(text, self.fmt)
                 if len(tokens) > self.fmt.max_pos:
-                    yield tuple(tokens[f.pos] for f in self.fmt.fields if not f.is_ratio and not f.is_contain)
+                    yield [tokens[k] for k in places]
 
 
 class LogSource(DataSource):

@@ -1,13 +1,16 @@
 import csv
 import glob
 import json
+import random
 import struct
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from logmill.operators import kernels
+from logmill.operators.order import dealt, numbered
 from logmill.operators.summarize import summarize
 from logmill.plans import job
 from logmill.plans.spec import load_format
@@ -54,7 +57,8 @@ def test_job_outputs(spark, logs, capsys):
     job.run(spark, job.parse_options([*base, "-output_format", "csv", "-ofname", f"{logs}/c", "-merge_results", "-tmp_save", "-quiet"]))
     rows = [r for f in glob.glob(f"{logs}/c/part-*") for r in csv.DictReader(open(f))]
     assert {r["id"]: (r["v"], r["w"], r["w_count"]) for r in rows} == {"a": ("8", "[x,z]", "[2,1]"), "b": ("2", "y", "1")}
-    assert glob.glob(f"{logs}/c-00001/part-*")
+    first = [r for f in glob.glob(f"{logs}/c-00001/part-*") for r in csv.DictReader(open(f))]
+    assert {r["id"]: (r["v"], r["w"], r["w_count"]) for r in first} == {"a": ("4", "x", "2"), "b": ("2", "y", "1")}
     mem = job.run(spark, job.parse_options([*base, "-output_format", "mem", "-merge_results", "-quiet", "-appname", "app", "-store_content"]))
     assert {r._key: r._content for r in mem.collect()} == {"a_app": "a,1,x\na,3,x\na,4,z\n", "b_app": 'b,2,"y\n'}
     with pytest.raises(ValueError):
@@ -172,3 +176,56 @@ def test_kmeans_settles_or_says_so(spark):
     assert [[r["mean"]] for r in again] == means
     with pytest.raises(RuntimeError):
         kernels.kmeans(points, 2, most_rounds=1)
+
+
+def test_kmeans_is_lloyds_algorithm(spark):
+    """The whole iteration against a plain loop, over fractions."""
+    rng = random.Random(4)
+    points = [(i, [rng.gauss(3 * (i % 4), 1.0), rng.gauss(i % 4, 1.0)]) for i in range(300)]
+    means = [list(p) for _, p in points[:4]]
+    labels: list[int] = []
+    while True:
+        new = [min(range(4), key=lambda c: (sum((a - b) ** 2 for a, b in zip(p, means[c])), c)) for _, p in points]
+        if new == labels:
+            break
+        labels = new
+        for c in range(4):
+            own = [p for (_, p), k in zip(points, labels) if k == c]
+            if own:
+                means[c] = [sum(v) / len(own) for v in zip(*own)]
+    found, assigned = kernels.kmeans(spark.createDataFrame(points, "id long, point array<double>"), 4)
+    assert [r.cluster for r in assigned.orderBy("id").collect()] == labels
+    assert all(a == pytest.approx(b) for x, y in zip(found, means) for a, b in zip(x, y))
+
+
+def test_absent_cells_are_zeros(spark):
+    cells = [(0, 0, 3.0), (0, 2, 4.0), (2, 1, 5.0)]
+    full = [[3.0, 0.0, 4.0], [0.0, 0.0, 0.0], [0.0, 5.0, 0.0]]
+    mean = [sum(r) / 3 for r in full]
+    want = {(i, j): sum((full[i][k] - mean[i]) * (full[j][k] - mean[j]) for k in range(3)) / 2 for i in range(3) for j in range(i, 3)}
+    got = {(r.i, r.j): r.cov for r in kernels.row_covariance(spark.createDataFrame(cells, "i long, j long, v double")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert kernels.row_covariance(spark.createDataFrame([], "i long, j long, v double")).count() == 0
+
+
+def test_numbered_rows(spark):
+    """Hot keys and ties: places are a permutation in the order of the keys."""
+    rows = [(i % 3 if i % 2 else 1, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(7)
+    got = numbered(df, F.desc("k"), "i").orderBy("place").collect()
+    assert [(r.k, r.i) for r in got] == sorted(rows, key=lambda r: (-r[0], r[1])) and [r.place for r in got] == list(range(5000))
+    assert numbered(df.where("false"), "k").count() == 0
+    assert dealt(df, 3, F.col("i")).groupBy(F.spark_partition_id().alias("p"), (F.col("i") % 3).alias("m")).count().where("p <> m").count() == 0
+
+
+def test_long_word_lists(spark, tmp_path):
+    """Lists beyond the literals give what comparing every word gives."""
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.choice([4, 6, 7]))) for _ in range(1500)})
+    assert len(words) > 1000
+    (tmp_path / "w").write_text(" ".join(words))
+    lines = [f"{i}," + "".join(rng.choice("abcde") for _ in range(9)) for i in range(400)]
+    for negative in (False, True):
+        f = {"format_name": "x", "delims": ",", "fields": [{"name": "k", "pos": 0, "type": "string", "key": True}, {"name": "v", "pos": 1, "type": "string", "match": {"match_file": str(tmp_path / "w"), "logic": "or", "negative": negative}}]}
+        got = {r._key for r in summarize(lines_from(spark, lines), load_format(f)).collect()}
+        assert got == {x.split(",")[0] for x in lines if any(w in x.split(",")[1] for w in words) != negative} and got
