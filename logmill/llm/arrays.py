@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,3 +185,36 @@ def gather_runs(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between consecutive bounds (empty runs give 0)."""
     return np.diff(np.concatenate(([0], np.cumsum(values)))[bounds])
+
+
+#: Bytes from which packed arrays are compressed.
+_WORTH = 512
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays as bytes: their n-th bytes together, then compressed; a few bytes of overhead for small ones."""
+    import zstandard
+
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cBI", a.dtype.kind.encode(), a.dtype.itemsize, len(a)) for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    if len(body) < _WORTH:
+        return b"\0" + head + body
+    return b"\1" + head + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack_arrays(raw: bytes) -> list[np.ndarray]:
+    """What ``pack_arrays`` was given."""
+    import zstandard
+
+    count, at, kinds = raw[1], 2, []
+    for _ in range(count):
+        kind, size, n = struct.unpack_from("<cBI", raw, at)
+        kinds.append((np.dtype(f"{kind.decode()}{size}"), n))
+        at += 6
+    body = zstandard.ZstdDecompressor().decompress(raw[at:]) if raw[0] else raw[at:]
+    out, at = [], 0
+    for kind, n in kinds:
+        planes = np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out

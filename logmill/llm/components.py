@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.storage import discard, materialize
+from logmill.llm.storage import forget, materialize
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Self-loops keep single vertices; an empty list gives no rows.
     """
-    spark = edges.sparkSession
     state = materialize(edges.select("u", "v").distinct(), name)
     before = None
     while True:
@@ -35,8 +34,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = _to_least(large).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
         after = materialize(small, name)
         mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
-        for path in state.inputFiles()[:1]:
-            discard(spark, path.rpartition("/")[0])
+        forget(state)
         state = after
         if mark == before:
             return state.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "v")

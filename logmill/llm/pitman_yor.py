@@ -1,57 +1,46 @@
 """A hierarchical Pitman-Yor language model over words, and its scores of texts.
 
-``score_corpus``, the registered query, gives every previous word a restaurant of its
-own: see ``bigrams``, which shares the draws and the reading of texts below.  What
-follows describes ``fit`` and ``score``, a small model of 64 contexts.
-
-Every token is drawn in the restaurant of its context, one of 64: the start of a
-text, one of the 62 most frequent training words before it, or any other word
-before it.  The frequent words are found by a count that leaves out words rarer
-than 1 in 20,000 in a slice of texts.  The context
-restaurants share one parent, the unigram restaurant, whose own base is diffuse:
-a draw from it is always a word never seen, and all unseen words are one event.
-So the model is normalised over the distinct training tokens and that event.
-
-Seating arrangements are sampled by Gibbs with the sizes of tables summed out: a
-dish's customers in a restaurant are seated anew given all other seatings, which
-draws its number of tables; every table sends one customer to the parent.  The
-draw is exact up to ``SMALL`` customers and normal around a saddle point beyond.
-The restaurants' totals are those of the round before, as in distributed samplers
-of topic models.  What a word needs (64 cells at most) lies in one row, so a round
-is one pass over the word table, with memory for its cells only.  Random numbers
-come from a hash of word, context and step: results do not depend on partitions or
-retries.  Predictive probabilities are averaged over the samples of the last round.
+Every token is drawn in the restaurant of its context: the previous word, whichever
+it is, or the start of the text.  All context restaurants share one parent, the
+unigram restaurant, whose own base is diffuse: a draw from it is always a word never
+seen, and all unseen words are one event.  So the model is normalised over the
+distinct training tokens and that event.
+
+Seating is sampled by Gibbs.  The state is the number of tables that each dish (word)
+has in each restaurant; the sizes of tables are summed out, so one draw seats all
+customers of a dish in a restaurant anew given all other seatings, and every table
+sends one customer to the parent.  A draw is exact up to ``SMALL`` customers (against
+closed-form posteriors, in the tests) and normal around a saddle point beyond (against
+exact moments).  Within a round a random half of the cells is drawn at once (all in
+the first) given the totals of the round before, the usual approximation of
+distributed samplers.  The chain goes on from round to round; predictive
+probabilities are averaged over the last ones.  Random numbers come from a hash of
+word, context and round: results depend neither on partitions nor on retries.
 
 Discounts come from counts of counts; both strengths are fixed.  Texts are
-lower-cased (A-Z) and cut into runs without ASCII white space; an end token
-follows.  Words are told apart by 64-bit hashes.  Null text counts as empty, a
-null ``doc_id`` as empty text.  Repeated ``doc_id``s give one row each.  Without
-training rows every token has probability 1.  An empty table gives no rows.
+lower-cased (A-Z) and cut into runs without ASCII white space; an end token follows.
+Words are told apart by 63-bit hashes.  Log probabilities are added up as whole
+multiples of 2**-26, so sums are the same in any order.
+
+Null text counts as empty, a null ``doc_id`` as empty text.  Repeated ``doc_id``s give
+one row each.  Without training rows every token has probability 1.  An empty table
+gives no rows.  Columns but doc_id and text are not looked at.  A very long text is
+read whole by its task; what is shuffled of it are its distinct pairs of words.
+
+``restaurants`` has the passes over the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import gather_runs, hash_words, mix, run_sums, slices, split_words, uniform
-from logmill.llm.frequent import frequent
-from logmill.llm.storage import materialize
-
-CONTEXTS, START, OTHER = 64, 0, 63
-#: Words rarer than this in a slice cannot become contexts through it.
-RARE = 1 / 20_000
 STRENGTH = 1.0
 #: Customers of a dish in a restaurant up to which its tables are drawn exactly.
 SMALL = 40
-#: Frequent words whose probabilities every scoring task holds: a fixed bound.
-HOT = 32_768
-END_HASH = np.uint64(0xE2D0F7E875A3B1C5)
+#: Log probabilities are multiples of one over this.
+SCALE = float(1 << 26)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -59,94 +48,9 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def context_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of (text), ascending; as many as there are contexts for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, size=8 << 20):
-                words = split_words(part.column("text"), lower=True)
-                n = np.bincount(words.codes, minlength=len(words.names))
-                often = np.flatnonzero(n > RARE * len(words.codes))
-                hashes = hash_words([words.names[i] for i in often.tolist()])
-                yield pa.RecordBatch.from_pydict({"h": pa.array(hashes.view(np.int64)), "n": pa.array(n[often])})
-
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(OTHER - START - 1).collect()
-    return np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
-
-
-def tokens_of(text: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(codes, contexts, bounds, hashes)``: token ``i`` is ``hashes[codes[i]]`` after ``contexts[i]``; ``known`` has the context words."""
-    words = split_words(text, lower=True)
-    rows = len(words.bounds) - 1
-    hashes = np.append(hash_words(words.names), END_HASH)
-    own = np.full(len(hashes), OTHER, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        own = np.where(known[at] == hashes, START + 1 + at, OTHER)
-    bounds = words.bounds + np.arange(rows + 1)
-    codes = np.full(int(bounds[-1]), len(words.names), np.int64)
-    if len(words.codes):
-        codes[np.arange(len(words.codes)) + words.doc] = words.codes
-    contexts = np.full(len(codes), START, np.int64)
-    contexts[1:] = own[codes[:-1]]
-    contexts[bounds[:-1]] = START
-    return codes, contexts, bounds, hashes
-
-
-def count_cells(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """``h, ctx, c``: per word the contexts it follows and how often, ascending; from (text) of training rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, size=8 << 20):
-                codes, contexts, _, hashes = tokens_of(part.column("text"), known)
-                keys, n = np.unique(codes * CONTEXTS + contexts, return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"h": pa.array(hashes[keys // CONTEXTS].view(np.int64)), "u": pa.array((keys % CONTEXTS).astype(np.int32)), "n": pa.array(n)}
-                )
-
-    # One shuffle: rows already lie by word, so both aggregations stay where they are.
-    counted = docs.select("text").mapInArrow(run, "h long, u int, n long").repartition("h").groupBy("h", "u").agg(F.sum("n").alias("n"))
-    cells = counted.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("u", "n"))).alias("cells"))
-    return cells.select("h", F.col("cells.u").alias("ctx"), F.col("cells.n").alias("c"))
-
-
-@dataclass
-class Cells:
-    """The cells of some words: ``word`` indexes rows, ``ctx`` contexts, ``c`` customers."""
-
-    h: np.ndarray
-    bounds: np.ndarray
-    ctx: np.ndarray
-    c: np.ndarray
-
-    @classmethod
-    def of(cls, batch: pa.RecordBatch) -> "Cells":
-        lists, counts = batch.column("ctx"), batch.column("c")
-        sizes = np.diff(lists.offsets.to_numpy())
-        bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        return cls(batch.column("h").to_numpy().view(np.uint64), bounds, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
-
-    @property
-    def word(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.h)), np.diff(self.bounds))
-
-
-@dataclass(frozen=True)
-class Model:
-    """What all restaurants share. ``tables``: per context; ``customers``: tokens per context."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    words: int
-    discount: float
-    root_discount: float
-
-    @property
-    def root_customers(self) -> float:
-        return float(self.tables.sum())
+def discount_of(ones: int, twos: int) -> float:
+    """The usual estimate from how many cells have one and two customers."""
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
 _stirling: dict[float, np.ndarray] = {}
@@ -170,10 +74,10 @@ def log_seatings(discount: float) -> np.ndarray:
     return _stirling[discount]
 
 
-def _draw_small(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, model: Model, u: np.ndarray) -> np.ndarray:
+def draw_small(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, discount: float, root_discount: float, u: np.ndarray) -> np.ndarray:
     """Tables of cells with few customers from their exact distribution given everything else."""
     out = np.ones(len(c), np.int64)
-    weights = log_seatings(model.discount)
+    weights = log_seatings(discount)
     low = 2
     for high in (3, 6, 12, 24, SMALL):
         at = np.flatnonzero((c >= low) & (c <= high))
@@ -182,14 +86,14 @@ def _draw_small(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, model: M
             continue
         t = np.arange(1, high + 1)
         # Each table beyond the first is one more draw of the word from the parent, which has seen the earlier ones.
-        more = np.log(others[at][:, None] + t[:-1] - model.root_discount) + log_new[at][:, None]
+        more = np.log(others[at][:, None] + t[:-1] - root_discount) + log_new[at][:, None]
         w = weights[c[at]][:, 1 : high + 1] + np.concatenate((np.zeros((len(at), 1)), np.cumsum(more, axis=1)), axis=1)
         p = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
         out[at] = 1 + (p < (u[at] * p[:, -1])[:, None]).sum(axis=1)
     return np.minimum(out, np.maximum(c, 1))
 
 
-def _large_moments(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+def large_moments(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean and variance of the tables of ``c`` customers if each table has weight ``a``, for large ``c``.
 
     Tables are a Poisson process whose sizes add up to ``c``: the saddle point of
@@ -215,275 +119,41 @@ def _saddle(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndar
     return a * g, a * np.maximum(g - (x * g1) ** 2 / spread, 0.0), np.log(a * spread)
 
 
-def _draw_large(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, now: np.ndarray, model: Model, u: np.ndarray, v: np.ndarray, turns: int) -> np.ndarray:
+def draw_large(c: np.ndarray, others: np.ndarray, log_new: np.ndarray, now: np.ndarray, discount: float, root_discount: float, u: np.ndarray, v: np.ndarray, turns: int) -> np.ndarray:
     """Tables of cells with many customers: a rounded normal draw around the saddle point."""
     mean = now.astype(np.float64)
     var = mean
     for _ in range(turns):  # the weight of a table grows with the tables that the parent has seen
-        a = np.exp(log_new) * np.maximum(others + mean - model.root_discount, 1e-9)
-        mean, var = _large_moments(c.astype(np.float64), a, model.discount)
+        a = np.exp(log_new) * np.maximum(others + mean - root_discount, 1e-9)
+        mean, var = large_moments(c.astype(np.float64), a, discount)
         mean = np.clip(mean, 1.0, c)
     normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
     return np.clip(np.rint(mean + np.sqrt(var) * normal), 1, c).astype(np.int64)
 
 
-def seat(cells: Cells, model: Model, sweeps: int, samples: int, seed: int) -> np.ndarray:
-    """Tables of each cell in ``samples`` arrangements (samples x cells), after ``sweeps`` to settle.
-
-    Sizes of tables are summed out: the state of a cell is its number of tables, drawn
-    given the word's other cells and the restaurants' totals. A step draws a random
-    half of the cells, so that a word's cells see each other move. Memory and time
-    depend on the number of cells, not of customers.
-    """
-    word = cells.word
-    key = cells.h[word] * np.uint64(CONTEXTS) + cells.ctx.astype(np.uint64) if len(word) else np.zeros(0, np.uint64)
-    log_new = np.log((STRENGTH + model.discount * model.tables[cells.ctx]) / (STRENGTH + model.root_customers))
-    t = np.ones(len(word), np.int64)
-    small, large = np.flatnonzero((cells.c > 1) & (cells.c <= SMALL)), np.flatnonzero(cells.c > SMALL)
-    out = np.zeros((samples, len(word)), np.int64)
-
-    def others(at: np.ndarray) -> np.ndarray:
-        return np.bincount(word, weights=t, minlength=len(cells.h))[word[at]] - t[at]
-
-    for step in range(2 * (sweeps + samples)):
-        first = step == 0
-        for number, kind in enumerate((small, large)):
-            at = kind if first else kind[uniform(seed, step, 3, key[kind]) < 0.5]
-            if not len(at):
-                continue
-            u = uniform(seed, step, 1, key[at])
-            if number == 0:
-                t[at] = _draw_small(cells.c[at], others(at), log_new[at], model, u)
-            else:
-                t[at] = _draw_large(cells.c[at], others(at), log_new[at], t[at], model, u, uniform(seed, step, 2, key[at]), 12 if first else 3)
-        done = step // 2 - sweeps
-        if step % 2 and done >= 0:
-            out[done] = t
-    return out
-
-
-def _totals(cells: DataFrame) -> Model:
-    """Customers and cells per context, words, and discounts from counts of counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = Cells.of(batch)
-            kinds = np.diff(x.bounds)
-            values = np.concatenate(
-                (
-                    np.bincount(x.ctx, weights=x.c, minlength=CONTEXTS),
-                    np.bincount(x.ctx, minlength=CONTEXTS),
-                    [len(x.h), (x.c == 1).sum(), (x.c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()],
-                )
-            ).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(values), dtype=np.int32)), "v": pa.array(values)})
-
-    got = np.zeros(2 * CONTEXTS + 5, np.int64)
-    for r in cells.mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        got[r["k"]] = r["v"]
-    words, one, two, root_one, root_two = (int(v) for v in got[2 * CONTEXTS :])
-
-    def discount(a: int, b: int) -> float:
-        return min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-
-    return Model(got[:CONTEXTS].astype(float), got[CONTEXTS : 2 * CONTEXTS].astype(float), words, discount(one, two), discount(root_one, root_two))
-
-
-def _tables(rows: DataFrame, samples: int) -> np.ndarray:
-    """Tables per sample and context, summed over all words."""
-    out = np.zeros((samples, CONTEXTS))
-    for r in rows.groupBy("s", "u").agg(F.sum("t").alias("t")).collect():
-        out[r["s"], r["u"]] = r["t"]
+def draw_tables(c: np.ndarray, t: np.ndarray, of_word: np.ndarray, of_context: np.ndarray, root: float, discount: float, root_discount: float, u: np.ndarray, v: np.ndarray, turns: int) -> np.ndarray:
+    """New numbers of tables of cells with ``c`` customers and ``t`` tables, given the tables of their words, contexts and of all; ``u`` and ``v`` are uniform."""
+    log_new = np.log((STRENGTH + discount * of_context) / (STRENGTH + root))
+    others, out = of_word - t, t.copy()
+    at = np.flatnonzero((c > 1) & (c <= SMALL))
+    out[at] = draw_small(c[at], others[at], log_new[at], discount, root_discount, u[at])
+    at = np.flatnonzero(c > SMALL)
+    if len(at):
+        out[at] = draw_large(c[at], others[at], log_new[at], t[at], discount, root_discount, u[at], v[at], turns)
     return out
 
 
-def _sums(x: Cells, seated: np.ndarray) -> pa.RecordBatch:
-    s, u = np.divmod(np.arange(len(seated) * CONTEXTS), CONTEXTS)
-    t = np.concatenate([np.bincount(x.ctx, weights=row, minlength=CONTEXTS) for row in seated]).astype(np.int64)
-    return pa.RecordBatch.from_pydict({"s": pa.array(s.astype(np.int32)), "u": pa.array(u.astype(np.int32)), "t": pa.array(t)})
-
-
-@dataclass(frozen=True)
-class Posterior:
-    """The model and its tables per sample (samples x contexts)."""
-
-    model: Model
-    tables: np.ndarray
-
-    @property
-    def back_off(self) -> np.ndarray:
-        """Per sample and context: the weight of the parent."""
-        return (STRENGTH + self.model.discount * self.tables) / (STRENGTH + self.model.customers)
-
-    @property
-    def root_total(self) -> np.ndarray:
-        return STRENGTH + self.tables.sum(axis=1)
+def log_probability(c, t, cu, tu, tw, roots, words: int, discount: float, root_discount: float) -> np.ndarray:
+    """Log10 of the averaged probability of cells, in multiples of 1 / ``SCALE``.
 
-    @property
-    def unseen(self) -> np.ndarray:
-        """Probability of the unseen words' event by context."""
-        return (self.back_off * ((STRENGTH + self.model.root_discount * self.model.words) / self.root_total)[:, None]).mean(axis=0)
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """The posterior and the seated words: h, ctx, c, t (all cells of a sample after those of the one before)."""
-
-    posterior: Posterior
-    words: DataFrame
-    contexts: np.ndarray
-
-
-def fit(docs: DataFrame, rounds: int = 2, sweeps: int = 2, samples: int = 3, seed: int = 17) -> Fitted:
-    """Learn from all rows of ``docs`` (text). ``rounds`` bring the shared totals up to date before the samples."""
-    known = context_words(docs)
-    cells = materialize(count_cells(docs, known), "lm-cells")
-    model = _totals(cells)
-    for number in range(rounds):
-
-        def settle(batches: Iterator[pa.RecordBatch], model: Model = model, number: int = number) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = Cells.of(batch)
-                yield _sums(x, seat(x, model, sweeps, 1, seed + number))
-
-        tables = _tables(cells.mapInArrow(settle, "s int, u int, t long"), 1)[0]
-        model = Model(model.customers, tables, model.words, model.discount, model.root_discount)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = Cells.of(batch)
-            seated = seat(x, model, sweeps, samples, seed + rounds)
-            # by word: all cells of the first sample, then of the next
-            sizes = np.diff(x.bounds)
-            starts = (x.bounds[:-1][:, None] + np.arange(samples) * len(x.ctx)).ravel()
-            flat = gather_runs(seated.ravel(), starts, np.repeat(sizes, samples))
-            lists = pa.ListArray.from_arrays(pa.array((x.bounds * samples).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("ctx"), batch.column("c"), lists], ["h", "ctx", "c", "t"])
-
-    words = materialize(cells.mapInArrow(sample, "h long, ctx array<int>, c array<long>, t array<long>"), "lm-words")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = Cells.of(batch)
-            yield _sums(x, _samples_of(batch, x, samples))
-
-    return Fitted(Posterior(model, _tables(words.mapInArrow(add, "s int, u int, t long"), samples)), words, known)
-
-
-def _samples_of(batch: pa.RecordBatch, x: Cells, samples: int) -> np.ndarray:
-    """Undo the order by word: samples x cells."""
-    flat = batch.column("t").flatten().to_numpy()
-    sizes = np.diff(x.bounds)
-    return np.stack([gather_runs(flat, x.bounds[:-1] * samples + s * sizes, sizes) for s in range(samples)])
-
-
-def predictive(posterior: Posterior, batch: pa.RecordBatch) -> tuple[Cells, np.ndarray, np.ndarray]:
-    """Cells of seated words, the root probability of each word (samples x words), and the averaged probability of each cell."""
-    x, model, samples = Cells.of(batch), posterior.model, len(posterior.tables)
-    seated = _samples_of(batch, x, samples)
-    at_root = np.stack([run_sums(row, x.bounds) for row in seated])
-    root = (at_root - model.root_discount) / posterior.root_total[:, None]
-    own = (x.c - model.discount * seated) / (STRENGTH + model.customers[x.ctx])
-    return x, root, (own + posterior.back_off[:, x.ctx] * root[:, x.word]).mean(axis=0)
-
-
-def score(docs: DataFrame, fitted: Fitted, hot: int = HOT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_tokens, n_known, base_score, score (log10 probabilities).
-
-    Frequent words meet their probabilities in the scanning task; the others are
-    counted per text and context and joined to the word table.
+    ``c`` and ``cu`` are customers of the cell and the context; ``t``, ``tu`` and ``tw``
+    tables of cell, context and word, by sample in rows; ``roots`` all tables by sample.
     """
-    spark, posterior, context = docs.sparkSession, fitted.posterior, fitted.contexts
-    samples, n_train, v = len(posterior.tables), float(posterior.model.customers.sum()), posterior.model.words
-    norm = n_train + 0.5 * (v + 1)
-    back_off = posterior.back_off
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, root, p = predictive(posterior, batch)
-            full = np.einsum("su,sw->wu", back_off, root) / samples
-            full[x.word, x.ctx] = p
-            logs = np.log10(full).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "c": pa.array(run_sums(x.c, x.bounds)), "p": pa.array([r.tobytes() for r in logs], pa.binary())})
-
-    counted = fitted.words.withColumn("_c", F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b))
-    # The dense rows are made for the few frequent words only.
-    top = frequent(counted, "_c", hot).drop("_c").mapInArrow(dense, "h long, c long, p binary").toArrow()
-    hashes = top["h"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    table = np.frombuffer(b"".join(top["p"].to_pylist()), np.float32).reshape(-1, CONTEXTS)[order]
-    sent = spark.sparkContext.broadcast((hashes[order], np.log10((top["c"].to_numpy()[order] + 0.5) / norm), table))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, logs = sent.value
-        for batch in batches:
-            for part in slices(batch, size=8 << 20):
-                codes, contexts, bounds, names = tokens_of(part.column("text"), context)
-                at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
-                is_hot = known[at] == names if len(known) else np.zeros(len(names), bool)
-                here = is_hot[codes]
-                where = at[codes]
-                base_sum = run_sums(np.where(here, base[where] if len(known) else 0.0, 0.0), bounds)
-                log_sum = run_sums(np.where(here, logs[where, contexts] if len(known) else 0.0, 0.0).astype(np.float64), bounds)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))[~here]
-                keys, n = np.unique((doc * len(names) + codes[~here]) * CONTEXTS + contexts[~here], return_counts=True)
-                pair, u = np.divmod(keys, CONTEXTS)
-                d, name = np.divmod(pair, len(names))
-                ids = part.column("_row").to_numpy()
-                k, rows = len(keys), part.num_rows
-                none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "_row": pa.array(np.concatenate((ids, ids[d]))),
-                        "doc_id": pa.concat_arrays([part.column("doc_id"), none]),
-                        # A text's own row has no context; its key spreads it and means nothing.
-                        "h": pa.array(np.concatenate((mix(ids.view(np.uint64)), names[name])).view(np.int64)),
-                        "u": pa.array(np.concatenate((np.full(rows, -1), u)).astype(np.int32)),
-                        "n": pa.array(np.concatenate((run_sums(here, bounds), n)).astype(np.int64)),
-                        "n_tokens": pa.concat_arrays([pa.array(np.diff(bounds)), none]),
-                        "base": pa.concat_arrays([pa.array(base_sum), none.cast(pa.float64())]),
-                        "log": pa.concat_arrays([pa.array(log_sum), none.cast(pa.float64())]),
-                    }
-                )
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, root, p = predictive(posterior, batch)
-            offsets = pa.array(x.bounds.astype(np.int32))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "h": batch.column("h"),
-                    "c": pa.array(run_sums(x.c, x.bounds)),
-                    "root": pa.ListArray.from_arrays(pa.array(np.arange(0, root.size + 1, samples, dtype=np.int32)), pa.array(root.T.ravel())),
-                    "ctx": pa.ListArray.from_arrays(offsets, pa.array(x.ctx.astype(np.int32))),
-                    "p": pa.ListArray.from_arrays(offsets, pa.array(p)),
-                }
-            )
-
-    words = fitted.words.mapInArrow(sparse, "h long, c long, root array<double>, ctx array<int>, p array<double>")
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    parts = rows.mapInArrow(scan, "_row long, doc_id long, h long, u int, n long, n_tokens long, base double, log double")
-    joined = parts.join(words, "h", "left")
-
-    def fixed(values: np.ndarray) -> Column:
-        return F.get(F.array(*map(F.lit, values.tolist())), F.col("u"))
-
-    tail = F.col("u") >= 0
-    from_root = sum((fixed(back_off[s]) * F.get("root", F.lit(s)) for s in range(samples)), F.lit(0.0)) / samples
-    position = F.array_position("ctx", F.col("u")).cast("int")
-    probability = F.when(F.col("c").isNull(), fixed(posterior.unseen)).otherwise(F.coalesce(F.get("p", F.when(position > 0, position - 1)), from_root))
-    count = F.coalesce("c", F.lit(0))
-    return (
-        joined.groupBy("_row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.when(tail & F.col("c").isNull(), 0).otherwise(F.col("n"))).alias("n_known"),
-            F.sum(F.when(tail, F.col("n") * F.log10((count + 0.5) / norm)).otherwise(F.col("base"))).alias("base_score"),
-            F.sum(F.when(tail, F.col("n") * F.log10(probability)).otherwise(F.col("log"))).alias("score"),
-        )
-        .drop("_row")
-    )
+    p = np.zeros(len(c))
+    for s, root in enumerate(roots):
+        parent = np.where(tw[s] > 0, tw[s] - root_discount, STRENGTH + root_discount * words) / (STRENGTH + root)
+        p += (c - discount * t[s] + (STRENGTH + discount * tu[s]) * parent) / (STRENGTH + cu)
+    return np.rint(np.log10(p / len(roots)) * SCALE).astype(np.int64)
 
 
 def perplexity(scores: DataFrame) -> float:
@@ -492,12 +162,13 @@ def perplexity(scores: DataFrame) -> float:
     return 10.0 ** (-r["s"] / r["n"])
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
+def score_corpus(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17) -> DataFrame:
     """Learn from the training rows of ``docs`` (doc_id, text) and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    from logmill.llm import bigrams
+    from logmill.llm import restaurants
 
-    fitted = bigrams.fit(docs.select("text", in_training(F.col("doc_id")).alias("train")))
-    out = bigrams.score(docs, fitted)
+    marked = docs.select("doc_id", "text", in_training(F.col("doc_id")).alias("train"))
+    fitted = restaurants.fit(marked, rounds, samples, seed)
+    out = restaurants.score(marked, fitted)
     return out.select(
         "doc_id",
         (~in_training(F.col("doc_id"))).alias("held_out"),

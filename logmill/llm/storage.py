@@ -3,38 +3,17 @@
 Intermediate tables and files live below the folder that the session names in
 ``spark.checkpoint.dir``: every executor and the driver can reach it, so a lost
 executor costs only the tasks it was running.  When the setting is absent a
-temporary folder is used, but only on a local master.
+temporary folder is used, but only on a local master.  What a step no longer needs
+is discarded there; the rest goes when the driver's process ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors, as a URI or path."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="logmill-")
-        atexit.register(shutil.rmtree, _own_root, True)
-    return f"file://{_own_root}"
-
+from logmill.sources.scratch import discard, file_system, new_folder, shared_root
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared root (not created yet)."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["discard", "file_system", "forget", "fresh", "limit_batches", "materialize", "new_folder", "shared_root"]
 
 
 def limit_batches(spark: SparkSession, size: str = "16m") -> None:
@@ -66,15 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared root through Spark's file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def file_system(uri: str):
-    """``(filesystem, path)`` for reading and writing raw bytes on an executor."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+            discard(path)
