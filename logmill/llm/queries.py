@@ -50,7 +50,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), matches=False)
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -58,6 +58,7 @@ def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
@@ -121,17 +122,21 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM benchmark),
-iw AS (SELECT item, least(13, len(w)) AS size, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS b, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_LETTER_WORD}') AS w FROM benchmark),
+iw AS (SELECT b, item, least(13, len(w)) AS size, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM iw),
+places AS (SELECT b, item, size, i, array_to_string(w[i : i + size - 1], ' ') AS k FROM iw),
 sizes AS (SELECT DISTINCT size FROM windows),
 dw AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
 hits AS (SELECT dw.r, dw.i, dw.size, item FROM dw JOIN windows x ON x.size = dw.size AND x.k = array_to_string(dw.w[dw.i : dw.i + dw.size - 1], ' ')),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
-found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+met AS (SELECT dw.r, dw.i, p.b, p.size, dw.i - p.i AS diagonal, dw.i - row_number() OVER (PARTITION BY dw.r, p.b, dw.i - p.i ORDER BY dw.i) AS island
+  FROM dw JOIN places p ON p.size = dw.size AND p.k = array_to_string(dw.w[dw.i : dw.i + dw.size - 1], ' ')),
+longest AS (SELECT r, max(n) AS n FROM (SELECT r, max(i) - min(i) + max(size) AS n FROM met GROUP BY r, b, diagonal, island) GROUP BY r)
+SELECT doc_id, coalesce(l.n, 0)::BIGINT AS longest_match, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r)
+FROM d LEFT JOIN covered c USING (r) LEFT JOIN found f USING (r) LEFT JOIN longest l USING (r)
 """
 
 OP7_SQL = f"""

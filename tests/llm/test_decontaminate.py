@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from logmill.llm import decontaminate
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,7 +46,7 @@ def test_brute_force(spark, docs, doc_rows):
     items = items_from(doc_rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = expected(doc_rows, items)
-    for block in (20_000, 6):
+    for block in (decontaminate.BLOCK, 300):
         got = decontaminate.scan(docs, bench, block=block).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == want
     kept = decontaminate.remove_contaminated(docs, bench)
@@ -51,6 +54,55 @@ def test_brute_force(spark, docs, doc_rows):
     assert kept.count() == sum(n for (_, _, h, _), n in want.items() if not h)
 
 
+def longest(text, items):
+    """Maximal verbatim matches of 13 words or more, or of a whole shorter item, by trying every pair of places."""
+    w, out = split(text), set()
+    for i, t in items:
+        b = split(t)
+        least = min(13, len(b))
+        for p in range(len(w)):
+            for q in range(len(b)):
+                if p and q and w[p - 1] == b[q - 1]:
+                    continue
+                n = 0
+                while p + n < len(w) and q + n < len(b) and w[p + n] == b[q + n]:
+                    n += 1
+                if least and n >= least:
+                    out.add(("" if i is None else str(i), p, q, n))
+    return out
+
+
+def test_all_longest_matches(spark):
+    """Repeats inside items and documents, shared prefixes, matches at edges; small blocks and shards."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abc")
+    items = [(k, " ".join(word() for _ in range(rng.choice([2, 5, 13, 14, 20, 33])))) for k in range(12)] + [(50, "a " * 30), (50, "b " * 15), (None, "c " * 13)]
+    rows = [(d, " ".join(word() for _ in range(rng.randint(0, 60)))) for d in range(40)]
+    rows += [(100 + k, f"{items[k][1]} z {items[k + 1][1]}") for k in range(13)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK, 100):
+        got = {r.doc_id: {tuple(m) for m in r.matches} for r in decontaminate.scan(docs, bench, block=block).collect()}
+        assert got == {d: longest(t, items) for d, t in rows}
+
+
+def test_blocks_are_read_once_per_shard_at_most(tmp_path, monkeypatch):
+    rng, paths = random.Random(1), []
+    for k in range(3):
+        block = decontaminate.Block.of([k], [" ".join(f"w{rng.randrange(50)}" for _ in range(400))])
+        paths.append(f"file://{tmp_path}/{k}")
+        (tmp_path / str(k)).write_bytes(block.dump())
+    everything = type("All", (), {"has": lambda self, x: np.ones(len(x), bool)})()
+    bench = decontaminate.Benchmark(paths, 13, everything)
+    for room, most in ((1 << 20, 3), (0, 12)):
+        monkeypatch.setattr(decontaminate, "REMEMBER", room)
+        monkeypatch.setattr(decontaminate, "reads", 0)
+        monkeypatch.setattr(decontaminate, "_size", 0)
+        decontaminate._remembered.clear()
+        for _ in range(4):
+            decontaminate.scan_shard(pa.array(["w1 w2 " * 30, None, ""]), bench)
+        assert decontaminate.reads == most
+
+
 def test_longest_match(spark):
     text = " ".join(f"w{i}" for i in range(40))
     bench = spark.createDataFrame([(5, "q " + " ".join(f"w{i}" for i in range(10, 30)) + " r")], "item_id long, text string")
