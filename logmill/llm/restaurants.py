@@ -47,7 +47,7 @@ END_HASH, START_HASH = np.uint64(0xE2D0F7E875A3B1C5), np.uint64(0xDB7E151628AED2
 
 #: Rows between the steps. ``kind`` says what ``key`` and ``vs`` are.
 ROWS = "b int, kind int, key long, vs array<long>, blob binary, path string"
-TOTAL, WORD, CONTEXT, RARE, SIZES, FILE, ASKED, SHARED, PAIR, REPLY, BLOB, DOCS = range(12)
+TOTAL, WORD, CONTEXT, RARE, SIZES, FILE, ASKED, SHARED, PAIR, REPLY, ANSWER, BLOB, DOCS = range(13)
 
 
 def rows_of(b: int | np.ndarray, kind: int, key: np.ndarray, vs: np.ndarray) -> pa.RecordBatch:
@@ -66,6 +66,24 @@ def blobs_of(b: list[int], kind: int, key: int, blobs: list[bytes], paths: list[
     return pa.RecordBatch.from_arrays(columns, ["b", "kind", "key", "vs", "blob", "path"])
 
 
+def messages(sender: int, kind: int, to: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """Keys and numbers for other buckets, packed by bucket."""
+    order, runs = _runs(to.astype(np.int64))
+    keys, values = keys[order], [v[order].astype(np.int64) for v in values]
+    small = [v.astype(np.int32) if not len(v) or v.max() < 1 << 31 else v for v in values]
+    return blobs_of([b for b, _, _ in runs], kind, sender, [pack_arrays(keys[a:z], *(v[a:z] for v in small)) for _, a, z in runs])
+
+
+def received(rows: dict[int, list], kind: int, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``(sender, keys, numbers)`` of every message."""
+    out = []
+    for part in rows.get(kind, []):
+        for sender, raw in zip(part.column("key").to_pylist(), part.column("blob").to_pylist()):
+            keys, *values = unpack_arrays(raw)
+            out.append((sender, keys, np.stack([v.astype(np.int64) for v in values], 1) if len(keys) else np.zeros((0, width), np.int64)))
+    return out
+
+
 def write_file(folder: str, *arrays: np.ndarray) -> str:
     path = f"{folder}/{uuid.uuid4().hex}"
     fs, local = file_system(path)
@@ -240,7 +258,8 @@ def count_cells(docs: DataFrame, routes, folder: str) -> DataFrame:
                 key, rare = codes * width + before, ids >= TOP
                 k, n = np.unique(key[train], return_counts=True)
                 # Buckets of rare contexts ask for the totals of their rare words, also of those only scored.
-                extra = np.setdiff1d(key[~train & rare[codes] & rare[before]], k)
+                extra = np.unique(key[~train & rare[codes] & rare[before]])
+                extra = extra[_find(k, extra) < 0]
                 k, n = np.concatenate((k, extra)), np.concatenate((n, np.zeros(len(extra), np.int64))).astype(np.uint32)
                 h, u = np.divmod(k, max(1, width))
                 h, u = ids[h], ids[u]
@@ -268,7 +287,7 @@ def count_cells(docs: DataFrame, routes, folder: str) -> DataFrame:
         yield rows_of(b, SIZES, size, many)
         shared, sums = _by(h[~hot_h & ~hot_u], c[~hot_h & ~hot_u])
         several = np.isin(shared, h[~hot_h & ~hot_u & (c > 1)])
-        yield rows_of(way.owner(shared).astype(np.int32), RARE, shared, np.column_stack((sums, several, np.full(len(shared), b))))
+        yield messages(b, RARE, way.owner(shared), shared, *sums.T, several)
         own, own_sums = _by(h[~hot_h & hot_u], c[~hot_h & hot_u])
         contexts, context_sums = _by(u[~hot_u & (c > 0)], c[~hot_u & (c > 0)])
         more = c > 1
@@ -357,14 +376,11 @@ class Fitted:
         return log_probability(c, t, cu, tu, tw, self.roots, self.n_words, self.discount, self.root_discount)
 
 
-def _answers(sent: DataFrame, width: int) -> DataFrame:
+def _answers(sent: DataFrame) -> DataFrame:
     """The sum of what all buckets sent about a word, to each of them."""
-    total = sent.groupBy("key").agg(F.array(*(F.sum(F.col("vs")[k]) for k in range(width))).alias("vs"))
-    return _as_rows(sent.select("b", "key").join(total, "key"))
-
-
-def _as_rows(found: DataFrame) -> DataFrame:
-    return found.select("b", F.lit(REPLY).alias("kind"), "key", "vs", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("string").alias("path"))
+    total = sent.groupBy("key").agg(F.sum(F.col("vs")[0]).alias("v"))
+    found = sent.select("b", "key").join(total, "key")
+    return found.select("b", F.lit(REPLY).alias("kind"), "key", F.array("v").alias("vs"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("string").alias("path"))
 
 
 def _path_of(rows: dict[int, list]) -> str:
@@ -389,36 +405,31 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
             break
         room, cut = room - m, s
 
-    # Rare words' totals are completed in their own buckets by their cells in rare contexts.
-    rare = cells.where(F.col("kind") == RARE)
-    remote = rare.groupBy("b", "key").agg(F.array(*(F.sum(F.col("vs")[k]) for k in range(3)), F.max(F.col("vs")[3])).alias("vs"))
-
     def complete(b: int, rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
         path = _path_of(rows)
         here = Bucket(path if path.count("\n") else f"{path}\n")
-        key, vs = _numbers(rows.get(REPLY, []), 4)
+        sent = received(rows, RARE, 4)
+        key, vs = (np.concatenate([x[k] for x in sent]) if sent else e for k, e in ((1, np.zeros(0, np.uint64)), (2, np.zeros((0, 4), np.int64))))
         own, at = np.unique(np.concatenate((here.own, key)), return_inverse=True)
-        sums = np.zeros((len(own), 3), np.int64)
-        np.add.at(sums, at, np.concatenate((here.own_sums, vs[:, :3])))
-        asked = np.sort(key[vs[:, 3] > 0])
-        words = write_file(folder, own, sums.ravel(), asked, np.sort(key))
+        sums = np.stack([np.bincount(at, weights=w, minlength=len(own)).astype(np.int64) for w in np.concatenate((here.own_sums, vs[:, :3])).T], 1)
+        asked = np.unique(key[vs[:, 3] > 0])
+        words = write_file(folder, own, sums.ravel(), asked, np.unique(key))
         known = sums[:, 0] > 0
         yield rows_of(b, TOTAL, np.zeros(1), np.array([[known.sum(), (sums[:, 1] == 1).sum(), (sums[:, 1] == 2).sum()]]))
-        yield rows_of(b, ASKED, asked, sums[_find(own, asked), 1])
+        # At first every cell has one table: a word has as many as it has kinds.
+        for sender, mine, numbers in [(b, asked, np.ones((len(asked), 4))), *sent]:
+            mine = mine[numbers[:, 3] > 0]
+            yield messages(b, ANSWER, np.full(len(mine), sender), mine, sums[_find(own, mine), 1])
         yield blobs_of([b], FILE, 0, [b""], [f"{path.split(chr(10))[0]}\n{words}"])
 
-    files = cells.where(F.col("kind") == FILE)
-    owned = materialize(gathered(files.unionByName(_as_rows(remote)), buckets, complete), "lm-words")
+    # Rare words' totals are completed in their own buckets by their cells in rare contexts.
+    owned = materialize(gathered(cells.where(F.col("kind").isin(FILE, RARE)), buckets, complete), "lm-words")
     n_rare, rare_one, rare_two = (int(v) for v in _sums(owned, TOTAL, 3)[1].sum(axis=0))
     n_words = n_rare + int((word_c > 0).sum())
     discount = discount_of(singles, twos)
     root_discount = discount_of(rare_one + int((word_kinds == 1).sum()), rare_two + int((word_kinds == 2).sum()))
 
-    # At first every cell has one table.
-    asked = owned.where(F.col("kind") == ASKED)
-    users = rare.where(F.col("vs")[3] > 0).select(F.col("vs")[4].cast("int").alias("b"), "key")
-    replies = _as_rows(users.unionByName(asked.select("b", "key")).join(asked.select("key", "vs"), "key"))
-    state = owned.where(F.col("kind") == FILE)
+    state, replies = owned.where(F.col("kind") == FILE), owned.where(F.col("kind") == ANSWER)
     of_words, of_contexts, root = word_kinds, context_kinds, float(n_cells)
     for number in range(rounds + samples):
         now = spark.sparkContext.broadcast((of_words, of_contexts, root))
@@ -427,6 +438,8 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
             path = _path_of(rows)
             here, (hot_words, hot_contexts, all_tables) = Bucket(path), now.value
             told, vs = _numbers(rows.get(REPLY, []), 1)
+            first = received(rows, ANSWER, 1)
+            told, vs = (np.concatenate([x, *(y[k] for y in first)]) for k, x in ((1, told), (2, vs)))
             order = np.argsort(told)
             told, vs = told[order], vs[order, 0]
             t = here.tables[0]
@@ -453,7 +466,7 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
             yield blobs_of([b], FILE, 0, [b""], [f"{cells_path}\n{words_path}\n{write_file(folder, new.astype(np.int32), *(x.astype(np.int32) for x in kept))}"])
 
         drawn = materialize(gathered(state.unionByName(replies), buckets, draw), "lm-round")
-        state, replies = drawn.where(F.col("kind") == FILE), _answers(drawn.where(F.col("kind") == ASKED), 1)
+        state, replies = drawn.where(F.col("kind") == FILE), _answers(drawn.where(F.col("kind") == ASKED))
         of_words = word_single + _spread_out(*_sums(drawn, WORD, 1), n_hot)[0]
         of_contexts = context_single + _spread_out(*_sums(drawn, CONTEXT, 1), n_hot)[0]
         root = float(singles + _sums(drawn, TOTAL, 1)[1].sum())
@@ -463,9 +476,7 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
         here = Bucket(path)
         ts = here.tables[1:]
         yield from here.hot_sums(b, ts)
-        at = _find(here.own, here.rare)
-        yield rows_of(b, SHARED, here.rare, np.stack([here.own_sums[at, 0], *(here.own_tables(t)[at] for t in ts)], 1))
-        yield rows_of(b, SHARED, here.shared, np.stack([np.zeros(len(here.shared)), *(here.away_tables(here.shared, t) for t in ts)], 1))
+        yield messages(b, SHARED, sent.value.owner(here.shared), here.shared, *(here.away_tables(here.shared, t) for t in ts))
         if cut is not None:
             pick = here.hot_h & here.hot_u & (np.floor(np.log2(here.c) * 8).astype(np.int64) >= cut)
             yield rows_of(b, PAIR, here.h[pick] << np.uint64(32) | here.u[pick], np.stack([here.c[pick], *(t[pick] for t in ts)], 1))
@@ -475,7 +486,19 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
     words = np.concatenate(([word_c], word_single + _spread_out(*_sums(last, WORD, samples), n_hot)))
     contexts = np.concatenate(([context_c], context_single + _spread_out(*_sums(last, CONTEXT, samples), n_hot)))
     roots = [float(singles + v) for v in _sums(last, TOTAL, samples)[1].sum(axis=0)]
-    rows = last.where(F.col("kind") == FILE).unionByName(_answers(last.where(F.col("kind") == SHARED), 1 + samples))
+
+    def answer(b: int, rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        """What other buckets need of this one's rare words: customers and, by sample, tables."""
+        path = _path_of(rows)
+        here, asking = Bucket(path), received(rows, SHARED, samples)
+        totals = np.stack([here.own_sums[:, 0], *(here.own_tables(t) for t in here.tables[1:])], 1)[_find(here.own, here.rare)]
+        for _, keys, numbers in asking:
+            totals[_find(here.rare, keys), 1:] += numbers
+        for sender, keys in [(b, here.rare), *((x, k) for x, k, _ in asking)]:
+            yield messages(b, ANSWER, np.full(len(keys), sender), keys, *totals[_find(here.rare, keys)].T)
+        yield blobs_of([b], FILE, 0, [b""], [path])
+
+    rows = materialize(gathered(last.where(F.col("kind").isin(FILE, SHARED)), buckets, answer), "lm-answers")
     top = last.where(F.col("kind") == PAIR).select("key", "vs").toArrow()  # at most ``hot_pairs``
     key = top["key"].to_numpy().view(np.uint64)
     vs = np.array(top["vs"].to_pylist(), np.int64).reshape(len(key), 1 + samples)
@@ -575,7 +598,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         cell[order] = np.cumsum(new) - 1
         c = np.add.reduceat(learned[order].astype(np.int64), first)
         h, u, key = h[order[first]], u[order[first]], key[order[first]]
-        log, base, known = cell_logs(m, Bucket(_path_of(rows)), _numbers(rows.get(REPLY, []), 1 + len(m.roots)), h, u, c, key)
+        log, base, known = cell_logs(m, Bucket(_path_of(rows)), received(rows, ANSWER, 1 + len(m.roots)), h, u, c, key)
         ends = np.cumsum(sizes)
         for name, start, end, (n_inc, doc, n) in zip(names, ends - sizes, ends, incidences):
             at = np.repeat(cell[start:end], n_inc)
@@ -608,7 +631,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     return parts.select("kind", "key", "blob").repartition(buckets, "key").mapInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def cell_logs(m: Fitted, here: Bucket, told: tuple[np.ndarray, np.ndarray], h: np.ndarray, u: np.ndarray, c: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_logs(m: Fitted, here: Bucket, told: list[tuple[int, np.ndarray, np.ndarray]], h: np.ndarray, u: np.ndarray, c: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log probability of cells, and the base's and whether it is known for rare words (0 for frequent ones)."""
     samples, n = len(m.roots), len(h)
     t = np.tile((c == 1).astype(np.int64), (samples, 1))
@@ -625,7 +648,7 @@ def cell_logs(m: Fitted, here: Bucket, told: tuple[np.ndarray, np.ndarray], h: n
     at = _find(here.contexts, u[~hot_u])
     values = np.stack([here.context_sums[:, 0], *(here.context_tables(x) for x in ts)])
     context[:, ~hot_u] = np.where(at >= 0, values[:, at] if values.shape[1] else 0, 0)
-    keys, vs = told
+    keys, vs = (np.concatenate([x[k] for x in told]) if told else e for k, e in ((1, np.zeros(0, np.uint64)), (2, np.zeros((0, 1 + samples), np.int64))))
     order = np.argsort(keys)
     keys, vs = keys[order], vs[order].T
     own = np.stack([here.own_sums[:, 0], *(here.own_tables(x) for x in ts)])
