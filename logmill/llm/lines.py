@@ -6,11 +6,14 @@ the first occurrence, by ``doc_id`` and then by position, stays; the lines that
 later occurrences cover are merged and removed.  Lines without a word belong to
 no window and stay.
 
-A task reports a window once, with its first place there; later places in the
-task are known to go.  So a window has as many rows as tasks at most.  Documents
+A task reports a window with its first place so far; places that come after it in
+the comparison are known to go.  So a window that is everywhere has about one row per
+task where documents come in order of their ids.  What a task remembers of windows has
+a fixed size; what falls out of it costs a row more and changes no result.  Documents
 with fewer than three such lines, empty and null texts stay as they are.  Rows
 equal in id and text are one document to the comparison and share its outcome;
-a null ``doc_id`` sorts first.  An empty table gives no rows.
+a null ``doc_id`` sorts first.  An empty table gives no rows.  Columns are returned as
+they are, whatever their names.  A very long text is handled whole by its task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from logmill.llm.storage import fresh
 from logmill.llm.substrings import keyed
 
 WINDOW = 3
+#: Windows of which a task remembers the first place, at least; twice as many at most.
+REMEMBER = 200_000
 _SPACE = b" \t\n\v\f\r"
 
 
@@ -36,14 +41,16 @@ def _content_lines(text: str) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in enumerate(text.encode().split(b"\n")) if x.strip(_SPACE)]
 
 
-def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def later_windows(docs: DataFrame, width: int = WINDOW, remember: int = REMEMBER) -> DataFrame:
     """``_key, at``: first lines (among those with a word) of windows that are not their first occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newer: dict[bytes, tuple[int, int, int]] = {}
+        older: dict[bytes, tuple[int, int, int]] = {}
+        low = -(1 << 63)
         for batch in batches:
             first: dict[bytes, tuple[int, int, int]] = {}
             gone: list[tuple[int, int]] = []
-            low = -(1 << 63)
             for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_key", "text"))):
                 if not text or text.count("\n") + 1 < width:
                     continue
@@ -52,14 +59,23 @@ def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                     h = hashlib.blake2b(b"".join(lines[at : at + width]), digest_size=16).digest()
                     place, old = (low if doc_id is None else doc_id, key, at), first.get(h)
                     if old is None:
-                        first[h] = place
-                    elif old[:2] == place[:2] and old[2] == at:
-                        pass  # the same row again
+                        old = newer.get(h) or older.pop(h, None)
+                        if old is not None:  # reported by an earlier batch: only an earlier place is news
+                            newer[h] = old
+                            if place < old:
+                                first[h] = place
+                            elif place > old:
+                                gone.append(place[1:])
+                        else:
+                            first[h] = place
                     elif place < old:
                         first[h] = place
                         gone.append(old[1:])
-                    else:
+                    elif place > old:
                         gone.append(place[1:])
+            newer.update(first)
+            if len(newer) > remember:
+                newer, older = {}, newer
             known = [None] * len(gone)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -78,10 +94,10 @@ def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return ranked.where("h is null or rank > 1").select("_key", "at")
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, counts: tuple[str, str] | None = None) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = WINDOW, counts: tuple[str, str] | None = None, remember: int = REMEMBER) -> DataFrame:
     """All columns of ``docs`` with ``text`` rebuilt; ``counts`` names columns to add for its lines and those removed."""
     key, cut = fresh(docs, "_key"), fresh(docs, "_gone")
-    gone = later_windows(docs, width).groupBy(F.col("_key").alias(key)).agg(F.collect_set("at").alias(cut))
+    gone = later_windows(docs, width, remember).groupBy(F.col("_key").alias(key)).agg(F.collect_set("at").alias(cut))
     rows = keyed(docs, key).join(gone, key, "left").drop(key)
     names, place = docs.columns, docs.columns.index("text")
 

@@ -6,15 +6,18 @@ windows whose smallest 17-word hash is unique in the corpus are unique as well.
 1. Every window's smallest 17-word Rabin-Karp hash (its anchor) is counted; the
    anchors found at two places or more go into a Bloom filter of fixed size.
 2. The windows behind these anchors are hashed and counted.  A window that a task
-   sees twice is known to be repeated; the task then reports it once.  So a
-   window's rows are as many as tasks have it at most, however often it occurs.
+   sees twice is known to be repeated; from then on the task only remembers that it
+   has said so.  So a window that is everywhere has about two rows per task, however
+   often it occurs.  The memory has a fixed size; what falls out of it costs a row
+   more and changes no result.
 3. Repeated windows merge into maximal intervals of each text, which go.
 
 Words are runs without the six ASCII white-space characters, unchanged.  Null
 text: no words.  Rows are told apart by a 64-bit hash of id and text; rows equal
 in both have equal windows and so one outcome.  Word and window hashes have 64
 bits: two different windows are taken for equal with a chance of about
-``windows**2 / 2**65``.  An empty table gives no rows.
+``windows**2 / 2**65``.  An empty table gives no rows.  Columns but doc_id and text are
+left out, so their names do not matter.  A very long text is hashed in one piece.
 """
 
 from __future__ import annotations
@@ -36,6 +39,29 @@ WIDTH, ANCHOR = 35, 17
 LOG2_BITS = 26
 
 
+#: Places of a task's memory.
+SLOTS = 1 << 19
+
+
+class Memory:
+    """Windows that a task has met before, and whether it has reported them as repeated; a fixed number, newer ones displace older ones."""
+
+    def __init__(self, slots: int = SLOTS):
+        # An empty place holds a value that belongs to another one.
+        self.hash, self.told = np.arange(slots, dtype=np.uint64) ^ np.uint64(1), np.zeros(slots, bool)
+
+    def meet(self, window: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(known, tell)`` of distinct windows, of which ``twice`` are in this slice more than once: known to be repeated, and to be reported now."""
+        slot = (window & np.uint64(len(self.hash) - 1)).astype(np.int64)
+        met = self.hash[slot] == window
+        known, tell = met | twice, (met | twice) & ~(met & self.told[slot])
+        # Of several windows with one slot the last stays.
+        order = np.argsort(slot, kind="stable")
+        last = order[np.flatnonzero(np.append(np.diff(slot[order]), 1))] if len(order) else order
+        self.hash[slot[last]], self.told[slot[last]] = window[last], known[last]
+        return known, tell
+
+
 class ShardWindows:
     """Word hashes of a shard with the anchor of every window."""
 
@@ -73,12 +99,13 @@ def repeated_anchors(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     return counted.where("n > 1").select("a")
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, log2_bits: int = LOG2_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, log2_bits: int = LOG2_BITS, slots: int = SLOTS) -> DataFrame:
     """``_key, start, n``: runs of windows that occur elsewhere too, by first word; runs may be cut up."""
     bloom = Bloom.of(repeated_anchors(docs, width, anchor), F.col("a"), log2_bits)
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(slots)
         for batch in batches:
             for part in slices(batch):
                 w = ShardWindows(part.column("text"), width, anchor)
@@ -90,15 +117,16 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 at = at[may]
                 window = rolling(w.hashes, width)[at]
                 doc = w.words.doc[at] if len(at) else at
-                _, back, n = np.unique(window, return_inverse=True, return_counts=True)
-                twice = n[back] > 1
-                # Those seen twice here: as runs, under a key that spreads them, plus one row that says they exist.
+                distinct, back, n = np.unique(window, return_inverse=True, return_counts=True)
+                repeated, tell = memory.meet(distinct, n > 1)
+                twice = repeated[back]
+                # Those known to be repeated: as runs, under a key that spreads them, plus one row that says so.
                 known, kdoc = at[twice], doc[twice]
                 new = np.ones(len(known), bool)
                 new[1:] = (np.diff(known) != 1) | (np.diff(kdoc) != 0)
                 first = np.flatnonzero(new)
                 runs = np.diff(np.append(first, len(known)))
-                present = np.unique(window[twice])
+                present = distinct[tell]
                 once, odoc = at[~twice], doc[~twice]
                 key = part.column("_key").to_numpy(zero_copy_only=False)
                 base = w.words.bounds
@@ -121,9 +149,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
     return found.withColumn("seen", seen).where("n > 0 or (n < 0 and seen > 1)").select("_key", "start", F.abs("n").alias("n"))
 
 
-def removal_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, log2_bits: int = LOG2_BITS) -> DataFrame:
+def removal_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, log2_bits: int = LOG2_BITS, slots: int = SLOTS) -> DataFrame:
     """``_key, spans``: unordered runs ``start << 31 | n`` of repeated windows for every text that has some."""
-    runs = repeated_windows(docs, width, anchor, log2_bits)
+    runs = repeated_windows(docs, width, anchor, log2_bits, slots)
     packed = F.shiftleft(F.col("start").cast("long"), 31).bitwiseOR(F.col("n").cast("long"))
     return runs.groupBy("_key").agg(F.collect_set(packed).alias("spans"))
 
@@ -140,12 +168,12 @@ def intervals(spans: list[int] | np.ndarray, width: int) -> list[tuple[int, int]
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, with_text: bool = True, log2_bits: int = LOG2_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, with_text: bool = True, log2_bits: int = LOG2_BITS, slots: int = SLOTS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256 and, if asked for, the kept words as ``text``.
 
     Only texts that lose words are shuffled; the others are finished where they are read.
     """
-    spans = materialize(removal_spans(docs, width, anchor, log2_bits), "removal-spans")
+    spans = materialize(removal_spans(docs, width, anchor, log2_bits, slots), "removal-spans")
     touched = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans, F.xxhash64("_key"), log2_bits - 2))
     rows = keyed(docs.select("doc_id", "text")).withColumn("_probe", F.xxhash64("_key"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from logmill.llm import lines
 
 
@@ -26,6 +28,21 @@ def test_brute_force(docs, doc_rows):
     assert sum(r._n_removed for r in got) > 0
 
 
+def test_many_batches_per_task(spark, docs, doc_rows):
+    """A task meets windows in later batches again, in any order of ids, with room to remember them and without."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for remember in (lines.REMEMBER, 3):
+            for order in ("doc_id", "-doc_id"):
+                got = lines.remove_repeated_windows(docs.repartition(2).sortWithinPartitions(F.expr(order)), remember=remember).collect()
+                assert Counter((r.doc_id, r.text) for r in got) == expected(doc_rows)
+        text = "\n".join(f"line {k}" for k in range(6))
+        same = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").coalesce(2)
+        assert lines.later_windows(same).count() == 299 * 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_later_occurrences_go(spark):
     a = "one x\n\ntwo\nthree\nfour"
     rows = [(2, a), (1, a), (3, "zero\n" + a + "\nfive"), (4, "r\nr\nr\nr"), (5, "one x\ntwo")]

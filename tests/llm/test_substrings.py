@@ -31,6 +31,35 @@ def test_brute_force(docs, doc_rows):
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in got) == expected(doc_rows, width)
 
 
+def test_many_slices_per_task(spark, docs, doc_rows):
+    """Batches of two rows: a task meets windows again and again, with room to remember them and without."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for slots in (substrings.SLOTS, 4):
+            got = substrings.remove_repeats(docs.coalesce(2), 6, 3, log2_bits=20, slots=slots).collect()
+            assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in got) == expected(doc_rows, 6)
+        same = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40))) for i in range(300)], "doc_id long, text string").coalesce(3)
+        rows = substrings.repeated_windows(same).groupBy("n").count().collect()
+        assert sum(r["count"] for r in rows) <= 300 + 2 * 3 * 6
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_memory_tells_once():
+    memory, rng = substrings.Memory(8), np.random.default_rng(1)
+    seen, told = Counter(), Counter()
+    for _ in range(200):
+        window = np.unique(rng.integers(0, 40, 6, np.uint64))
+        twice = rng.random(len(window)) < 0.2
+        known, tell = memory.meet(window, twice)
+        assert (known | ~twice).all() and (known | ~tell).all()
+        for w, t, k, say in zip(window.tolist(), twice, known, tell):
+            assert not k or t or seen[w]
+            seen[w] += 1
+            told[w] += say or not k
+            assert not k or told[w]  # whoever is known has been reported before or is now
+
+
 def test_overlapping_self_repeats(spark):
     rows = [(1, "a " * 60), (2, "b c " * 40 + "d"), (3, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
