@@ -31,16 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import hash_words, mix, pack_arrays, run_sums, slices, split_words, unpack_arrays, uniform
+from logmill.llm.arrays import give_back, hash_words, mix, pack_arrays, run_sums, slices, split_words, unpack_arrays, uniform
 from logmill.llm.frequent import frequent
 from logmill.llm.pitman_yor import SCALE, discount_of, draw_tables, log_probability
 from logmill.llm.storage import file_system, materialize, new_folder
 
 #: Words and pairs that every task knows, and tokens of the corpus for each bucket.
-HOT, HOT_PAIRS, BUCKET = 1 << 17, 1 << 18, 3_000_000
+HOT, HOT_PAIRS, BUCKET = 1 << 17, 1 << 18, 2_000_000
 #: Occurrences in a slice from which it proposes a word as frequent.
 OFTEN = 8
-SLICE = 8 << 20
+SLICE = 6 << 20
 
 TOP = np.uint64(1 << 63)
 END_HASH, START_HASH = np.uint64(0xE2D0F7E875A3B1C5), np.uint64(0xDB7E151628AED2A7)
@@ -217,6 +217,7 @@ def gathered(rows: DataFrame, buckets: int, work: Callable[[int, dict[int, list]
                 held.setdefault(k >> 8, {}).setdefault(k & 255, []).append(part)
         for bucket in sorted(held):
             yield from work(bucket, held.pop(bucket))
+            give_back()
 
     return rows.repartitionById(buckets, "b").mapInArrow(run, ROWS)
 
