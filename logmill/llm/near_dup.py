@@ -15,12 +15,18 @@ for a similarity of 0.85, 25 of 4 for 0.8.
    of usual size goes to one task, which grows one component at a time: a class
    is compared with all that no component holds yet, through the postings of its
    shingles.  A group with more than ``LOCAL`` shingles is grown the same way by
-   joins, some hundred classes a round.
+   joins, over the shingles that are rarest in the group: two linked sets share one
+   of their first ``n - 0.85 n + 1``.  The classes compared in a round double from
+   round to round, so copies are absorbed by the first few and a group that does not
+   link takes a number of rounds that grows with its logarithm (from ``ROUND`` classes
+   on, with its size over that).
 
 Pairs inside a band are never listed.  Shingle hashes have 64 bits.  Documents
 without words, and null texts, have the empty set and link with nothing.  Rows
 equal in id and text share their outcome; a null ``doc_id`` takes part, but a
-component is named by its least known id.  An empty table gives no rows.
+component is named by its least known id.  An empty table gives no rows.  Columns but
+doc_id and text are not looked at, and pass through ``keep_one``, whatever their names.
+A very long text is one set, held by one task.
 """
 
 from __future__ import annotations
@@ -43,8 +49,8 @@ SHINGLE, THRESHOLD = 5, 85
 VALUES, MISS = 100, 1e-5
 #: Shingles of a group that one task takes.
 LOCAL = 2_000_000
-#: Classes that a round of a larger group compares, per group.
-ROUND = 128
+#: Classes of a larger group that its first round compares, and that a round compares at most.
+FIRST, ROUND = 4, 4096
 
 
 def banding(threshold: int, values: int = VALUES) -> tuple[int, int]:
@@ -163,6 +169,10 @@ def _grow_by_joins(members: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"grp": np.full(len(x), g), "cls": np.full(len(x), c), "n": np.full(len(x), n), "x": x})
 
     items = materialize(members.mapInArrow(unpack, "grp long, cls long, n long, x long"), "group-items")
+    common = items.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("f"))
+    by_set = items.join(common, ["grp", "x"]).groupBy("grp", "cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    needed = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int")
+    rarest = materialize(by_set.select("grp", "cls", "n", F.explode(F.slice("xs", F.lit(1), needed)).alias("s")).select("grp", "cls", "n", F.col("s.x").alias("x")), "group-rarest")
     # state 0: in no component yet; 1: in one, not compared yet; 2: compared. Members of one component carry one label.
     state = materialize(members.select("grp", "cls", F.lit(0).alias("state"), F.lit(None).cast("long").alias("label")), "group-state")
     links, turn = spark.createDataFrame([], "u long, v long"), 0
@@ -172,8 +182,9 @@ def _grow_by_joins(members: DataFrame, threshold: int) -> DataFrame:
         busy = busy.where("left > 0 and (none > 0 or labels > 1)").select("grp")
         if not busy.take(1):
             return links
+        size = min(ROUND, FIRST << min(turn, 30))
         turn += 1
-        # Waiting classes come first; a group without any gets new seeds. A hash of class and round picks about ROUND of them.
+        # Waiting classes come first; a group without any gets new seeds. A hash of class and round picks about ``size`` of them.
         open_ = state.where("state < 2").join(busy, "grp", "left_semi")
         sizes = open_.groupBy("grp").agg(
             F.count_if(F.col("state") == 1).alias("waiting"),
@@ -181,15 +192,17 @@ def _grow_by_joins(members: DataFrame, threshold: int) -> DataFrame:
             F.min_by("cls", F.struct(-F.col("state"), F.xxhash64("cls"))).alias("sure"),
         )
         dice = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        share = F.when(F.col("waiting") == 0, ROUND / F.col("fresh")).when(F.col("state") == 1, ROUND / F.col("waiting")).otherwise(0.0)
+        share = F.when(F.col("waiting") == 0, size / F.col("fresh")).when(F.col("state") == 1, size / F.col("waiting")).otherwise(0.0)
         picked = open_.join(sizes, "grp").where((F.col("cls") == F.col("sure")) | (dice < share))
         pivots = materialize(picked.select("grp", "cls", F.coalesce("label", "cls").alias("mine")), "group-pivots")
         marked = state.join(pivots, ["grp", "cls"], "left")
-        left = items.join(pivots, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("mine").alias("lu"))
+        left = rarest.join(pivots, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("mine").alias("lu"))
         targets = marked.where("state < 2").select("grp", "cls", F.coalesce("mine", "label").alias("lv"))
-        right = items.join(targets, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("v"), F.col("n").alias("nv"), "lv")
-        met = left.join(right, ["grp", "x"]).where("u <> v and (lv is null or lu <> lv)")
-        both = met.groupBy("grp", "u", "nu", "lu", "v", "nv", "lv").agg(F.count(F.lit(1)).alias("both"))
+        right = rarest.join(targets, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("v"), F.col("n").alias("nv"), "lv")
+        met = left.join(right, ["grp", "x"]).where("u <> v and (lv is null or lu <> lv)").where(100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))
+        met = met.select("grp", "u", "nu", "lu", "v", "nv", "lv").distinct()
+        of_u, of_v = (items.select("grp", F.col("cls").alias(c), "x") for c in ("u", "v"))
+        both = met.join(of_u, ["grp", "u"]).join(of_v, ["grp", "v", "x"]).groupBy("grp", "u", "nu", "lu", "v", "nv", "lv").agg(F.count(F.lit(1)).alias("both"))
         enough = 100 * F.col("both") >= threshold * (F.col("nu") + F.col("nv") - F.col("both"))
         new = materialize(both.where(enough).select("grp", "u", "v", "lu", "lv"), "group-links")
         links = links.unionByName(new.select("u", "v"))

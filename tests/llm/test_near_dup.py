@@ -75,6 +75,21 @@ def test_links_through_others(spark, local):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(rows)
 
 
+def test_large_groups(spark):
+    """Groups grown by joins: copies that all link, texts that share half of their words and do not, and a hub."""
+    rng = random.Random(3)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(120)] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(120):
+        rows.append((1000 + i, " ".join(base[:60] + [f"own{i}x{j}" for j in range(45)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dup.near_duplicates(docs, local=500).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(rows)
+
+
 def test_keep_one(docs, doc_rows):
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("_KEY <> 'z'").count() == 0
@@ -89,6 +104,13 @@ def test_empty(no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Stars, of which one has most edges, a long chain, and a bridge between them."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 5400)] + [(7000 + i, 7001 + i) for i in range(60)] + [(7060, 5399), (9000, 9001)]
+    got = {r.v: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in [*range(5000, 5400), *range(7000, 7061)]} | {9000: 9000, 9001: 9000}
+
+
 def test_components(spark):
     edges = [(9, 3), (3, 7), (7, 20), (5, 5), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35), (35, 29)]
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
