@@ -40,7 +40,9 @@ from logmill.llm.storage import file_system, materialize, new_folder
 HOT, HOT_PAIRS, BUCKET = 1 << 17, 1 << 18, 2_000_000
 #: Occurrences in a slice from which it proposes a word as frequent.
 OFTEN = 8
-SLICE = 6 << 20
+SLICE = 8 << 20
+#: One in so many slices proposes frequent words (the first of a task always does).
+PROPOSE = 4
 
 TOP = np.uint64(1 << 63)
 END_HASH, START_HASH = np.uint64(0xE2D0F7E875A3B1C5), np.uint64(0xDB7E151628AED2A7)
@@ -146,23 +148,31 @@ def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def routes_of(docs: DataFrame, hot: int, bucket: int) -> Routes:
-    """Choose the frequent words of (text) from words that are frequent in a slice."""
+    """Choose the frequent words of (text) from words that are frequent in some slices: which they are changes only where cells go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = -1
         for batch in batches:
             for part in slices(batch, size=SLICE):
+                number += 1
+                if number % PROPOSE:
+                    continue
                 words = split_words(part.column("text"), lower=True)
                 n = np.bincount(words.codes, minlength=len(words.names))
                 often = np.flatnonzero(n >= OFTEN)
                 ids = hash_words([words.names[i] for i in often.tolist()]) | TOP
                 ids = np.concatenate((ids, [END_HASH | TOP, START_HASH | TOP, np.uint64(0)])).astype(np.uint64)
-                n = np.concatenate((n[often], [part.num_rows, part.num_rows, len(words.codes) + part.num_rows]))
+                size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                ids = np.append(ids, np.uint64(1))
+                n = np.concatenate((n[often], [part.num_rows, part.num_rows, len(words.codes) + part.num_rows, size]))
                 yield pa.RecordBatch.from_pydict({"h": pa.array(ids.view(np.int64)), "n": pa.array(n)})
 
     counted = materialize(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-frequent")
-    tokens = sum(r["n"] for r in counted.where("h = 0").collect())
-    buckets = max(1, -(-tokens // bucket))
-    top = frequent(counted.where("h <> 0"), "n", hot).toArrow()
+    seen = {r["h"]: r["n"] for r in counted.where("h in (0, 1)").collect()}
+    tokens, read = seen.get(0, 0), max(1, seen.get(1, 0))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+    buckets = max(1, int(-(-tokens * max(1.0, size / read) // bucket)))
+    top = frequent(counted.where("h not in (0, 1)"), "n", hot).toArrow()
     ids, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     rank = np.empty(len(ids), np.uint64)
     rank[np.lexsort((ids, -n))] = np.arange(len(ids))
