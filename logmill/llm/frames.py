@@ -7,9 +7,14 @@ frame in the public seekable format (per frame: compressed size, size, low 32
 bits of xxh64 of the content; then frame count, flags, magic number).  A reader
 seeks to the table at the end and decompresses only the frames asked for.
 
-Shards are written once, under names that an attempt makes up; the manifest
-names those that count, so a retried or speculative task leaves at most an
-unreferenced file.  Null text: only the end id.  An empty input gives no shard.
+A task writes a range of ids and begins another shard after ``SHARD_BYTES`` of frames;
+there are as many ranges as shuffle partitions, and one for every ``RANGE_BYTES`` of
+text at least.  Shards are written once, under names that an attempt makes up; the
+manifest names those that count, so a retried or speculative task leaves at most an
+unreferenced file.  A shard is read by one task.
+
+Null text: only the end id.  A very long text is one frame, encoded whole by its task.
+Columns but doc_id and text are not looked at.  An empty input gives no shard.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +38,8 @@ from logmill.llm.tokenize import ENCODE_BYTES, END_ID, word_encoder
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
+#: Bytes of frames after which a shard ends, and of text for each range of ids.
+SHARD_BYTES, RANGE_BYTES = 256 << 20, 512 << 20
 
 
 def _checksum(raw: bytes) -> int:
@@ -47,25 +55,26 @@ class FrameWriter:
         import zstandard
 
         self.stream, self.compress = stream, zstandard.ZstdCompressor(level=level).compress
-        self.table: list[tuple[int, int, int]] = []
-        self.ids: list[int | None] = []
-        self.tokens = 0
+        #: Three numbers a frame; ids (0 for null) and whether they are known.
+        self.table, self.ids, self.known = array("I"), array("q"), bytearray()
+        self.tokens = self.size = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         raw = ids.astype("<u4", copy=False).tobytes()
         frame = self.compress(raw)
         self.stream.write(frame)
-        self.table.append((len(frame), len(raw), _checksum(raw)))
-        self.ids.append(doc_id)
+        self.table.extend((len(frame), len(raw), _checksum(raw)))
+        self.ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
         self.tokens += len(ids)
+        self.size += len(frame)
 
     def close(self) -> None:
-        known = np.array([i is not None for i in self.ids], np.uint8)
-        body = np.array([i or 0 for i in self.ids], "<i8").tobytes() + known.tobytes()
+        body = np.array(self.ids, "<i8").tobytes() + bytes(self.known)
         self.stream.write(struct.pack("<II", SKIPPABLE_IDS, len(body)) + body)
         entries = np.array(self.table, "<u4").tobytes()
         self.stream.write(struct.pack("<II", SKIPPABLE_TABLE, len(entries) + 9) + entries)
-        self.stream.write(struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEK_MAGIC))
+        self.stream.write(struct.pack("<IBI", len(self.ids), CHECKSUM_FLAG, SEEK_MAGIC))
         self.stream.close()
 
 
@@ -124,18 +133,25 @@ class Shard:
     start: int
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None) -> list[Shard]:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> list[Shard]:
     """Tokenise all of ``docs`` (doc_id, text) into shards; the list has a row per file, not per document."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-frames")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     ordered = (
         docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_row"))
+        .repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.col("_row"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_row"))
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, path = word_encoder(tokenizer), None, ""
+        encoder, out, path, number = word_encoder(tokenizer), None, "", TaskContext.get().partitionId() << 32
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"number": [number], "path": [path], "docs": [len(out.ids)], "tokens": [out.tokens]})
+
         for batch in batches:
             for part in slices(batch, size=ENCODE_BYTES):
                 ids, bounds = encoder.encode(part.column("text"), END_ID)
@@ -146,9 +162,11 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
                     out = FrameWriter(fs.open_output_stream(local, compression=None))
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     out.add(doc_id, ids[bounds[i] : bounds[i + 1]])
+                if out.size >= shard_bytes:
+                    yield done()
+                    out, number = None, number + 1
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"number": [TaskContext.get().partitionId()], "path": [path], "docs": [len(out.ids)], "tokens": [out.tokens]})
+            yield done()
 
     manifest = materialize(ordered.mapInArrow(write, "number long, path string, docs long, tokens long"), "frame-manifest")
     shards, start = [], 0
@@ -163,8 +181,8 @@ def read_shards(spark, shards: list[Shard]) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
     if not shards:
         return spark.createDataFrame([], schema)
-    rows = [(s.path, s.start) for s in shards]
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path")
+    rows = [(i, s.path, s.start) for i, s in enumerate(shards)]
+    listed = spark.createDataFrame(rows, "number int, path string, start long").repartitionById(len(rows), "number")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -232,7 +232,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LO
     edges = banded.join(shared, "band").select("u", F.col("cls").alias("v")).distinct()
     groups = components(edges, "candidates").select(F.col("v").alias("cls"), F.col("root").alias("grp"))
     members = materialize(groups.join(classes.select("cls", "least", "n"), "cls"), "members")
-    wanted = spark.sparkContext.broadcast(Bloom.of(members, F.xxhash64("cls"), 24))
+    # Sixteen bits a class, as far as the filter's bound allows: beyond it more sets are read than needed.
+    bits = min(28, max(16, (16 * members.count()).bit_length()))
+    wanted = spark.sparkContext.broadcast(Bloom.of(members, F.xxhash64("cls"), bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

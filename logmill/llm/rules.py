@@ -29,6 +29,8 @@ from logmill.llm.storage import fresh, materialize
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_LABELLED = 200_000
+#: Repeated windows up to which each place is compared with all of them.
+FEW = 12
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -40,23 +42,32 @@ def with_stats(docs: DataFrame, name: str = "_stats") -> DataFrame:
     windows that the text has twice or more).
     """
     own = list(docs.columns)
-    text, words, pairs, at = (fresh(docs, f"{name}_{k}") for k in ("text", "words", "pairs", "at"))
+    text, words, hashes, ordered, twice, pairs, at = (fresh(docs, f"{name}_{k}") for k in ("text", "words", "hashes", "ordered", "twice", "pairs", "at"))
     out = docs.withColumn(text, F.coalesce("text", F.lit("")))
     trimmed = F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))
     out = out.withColumn(words, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+")))
 
     def window(i: Column) -> Column:
         w = F.col(words)
-        return F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
-
-    starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn(pairs, F.sort_array(F.transform(starts, window)))
+        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+    none = F.array().cast("array<int>")
+    starts = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(none)
+    out = out.withColumn(hashes, F.transform(starts, window))
+    # Most texts repeat few windows or none: plain numbers are sorted for all texts, places only for the others.
+    out = out.withColumn(ordered, F.sort_array(hashes))
+    out = out.withColumn(twice, F.array_distinct(F.filter(ordered, lambda h, k: h == F.get(F.col(ordered), k + 1))))
+    few = F.size(twice) <= FEW
+    placed = F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    out = out.withColumn(pairs, F.when(few, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(placed)))
 
     def repeated(x: Column, k: Column) -> Column:
         before, after = F.get(F.col(pairs), k - 1)["h"], F.get(F.col(pairs), k + 1)["h"]
         return F.coalesce(x["h"] == before, F.lit(False)) | F.coalesce(x["h"] == after, F.lit(False))
 
-    out = out.withColumn(at, F.sort_array(F.transform(F.filter(pairs, repeated), lambda x: x["i"])))
+    by_place = F.filter(starts, lambda i: F.array_contains(twice, F.get(hashes, i)))
+    by_order = F.sort_array(F.transform(F.filter(pairs, repeated), lambda x: x["i"]))
+    out = out.withColumn(at, F.when(F.size(twice) == 0, none).when(few, by_place).otherwise(by_order))
     # Sorted windows cover three words each, less what the next one begins with.
     covered = F.transform(at, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(at), k + 1) - p, F.lit(3))))
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -77,3 +77,28 @@ def test_stages_against_brute_force(spark, folder):
 def test_run_and_rerun(spark, folder):
     a, b = (Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()) for _ in range(2))
     assert a == b and a
+
+
+@pytest.mark.parametrize("emptied", [("documents",), ("labels",), ("benchmark",), ("labels", "benchmark")])
+def test_empty_tables(spark, folder, tmp_path, emptied):
+    """Without documents nothing comes out; without labels or a benchmark the other stages decide."""
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{folder}/{name}.parquet")
+        (table.where("false") if name in emptied else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    full = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    if "documents" in emptied:
+        assert not got
+    elif "labels" in emptied:
+        assert any(1000 <= d < 2000 for d in got if d is not None)
+    else:
+        assert got == full | {3000, 3001, 3002, 3100}
+
+
+def test_other_columns_pass_through(spark, folder):
+    """Columns named like those that stages use inside keep their values."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'z' as _key", "'z' as _GONE", "'z' as _stats", "'z' as _kept", "'z' as h", "'z' as b")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        assert docs.columns[-6:] == ["_key", "_GONE", "_stats", "_kept", "h", "b"]
+        assert docs.where("concat(_key, _GONE, _stats, _kept, h, b) <> 'zzzzzz'").count() == 0 and docs.count()

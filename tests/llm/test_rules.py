@@ -1,7 +1,9 @@
+import math
 import random
 from collections import Counter
 
 from conftest import words
+from pyspark.sql import functions as F
 
 from logmill.llm import rules
 
@@ -69,3 +71,69 @@ def test_as_many_rules_as_kinds_of_junk(spark):
     keeps = learned.keeps({f"f{j}": table[f"f{j}"] for j in range(kinds)})
     assert len(learned.rules) > 8
     assert table.where(keeps == table["bad"]).count() == 0
+
+
+def plain_list(rows, max_literals=3, quantiles=24, least_precision=0.9, least_rows=5):
+    """Sequential covering by trying every literal on every row: [(feature, at least, threshold), ...] per rule."""
+    names = [c for c in rows[0] if c not in ("bad", "grow")]
+    grow, prune = ([r for r in rows if r["grow"] == g] for g in (True, False))
+    cuts = {}
+    for name in names:
+        seen = set()
+        for kind in (True, False):
+            values = sorted(r[name] for r in grow if r["bad"] == kind)
+            seen |= {values[max(1, math.ceil(len(values) * k / (quantiles + 1))) - 1] for k in range(1, quantiles + 1)} if values else set()
+        seen = sorted(seen)
+        cuts[name] = sorted({*seen, *((a + b) / 2 for a, b in zip(seen, seen[1:]))})
+    holds = lambda rule, r: all((r[f] >= t) == at_least for f, at_least, t in rule)
+    count = lambda rows: (sum(r["bad"] for r in rows), sum(not r["bad"] for r in rows))
+    result = []
+    while True:
+        rule = []
+        while len(rule) < max_literals:
+            rest = [r for r in grow if not any(holds(x, r) for x in result) and holds(rule, r)]
+            all_p, all_n = count(rest)
+            best, top = None, 1e-9
+            for name in names:
+                for t in cuts[name]:
+                    for at_least in (True, False):
+                        p, n = count([r for r in rest if (r[name] >= t) == at_least])
+                        if p >= least_rows:
+                            gain = p * (math.log2(p / (p + n)) - math.log2(all_p / (all_p + all_n)))
+                            if gain > top:
+                                best, top, left = (name, at_least, t), gain, n
+            if best is None:
+                break
+            rule.append(best)
+            if left == 0:
+                break
+        if not rule:
+            return result
+        rest = [r for r in prune if not any(holds(x, r) for x in result)]
+        seen = [count([r for r in rest if holds(rule[:k], r)]) for k in range(1, len(rule) + 1)]
+        worth = [(p - n) / max(1, p + n) for p, n in seen]
+        k = worth.index(max(worth)) + 1
+        p, n = seen[k - 1]
+        if p < least_rows or p / (p + n) < least_precision:
+            return result
+        result.append(rule[:k])
+
+
+def test_rules_equal_a_plain_learner(spark):
+    """The list learned from histograms is that of trying every literal on every row."""
+    rng, rows = random.Random(9), []
+    for _ in range(700):
+        kind = rng.randrange(5)
+        a, b, c = rng.randint(0, 40), round(rng.gauss(0, 3), 2), rng.choice([0.0, 1.0, 2.0])
+        bad = (kind == 0 and a > 25) or (kind == 1 and b < -1 and c > 0) or (a < 4 and c == 2) or rng.random() < 0.02
+        rows.append({"a": float(a), "b": b, "c": c, "bad": bad, "grow": rng.random() < 0.67})
+    for _ in range(250):
+        rows.append({"a": 33.0, "b": round(rng.uniform(-9, 9), 2), "c": 1.0, "bad": rng.random() < 0.97, "grow": rng.random() < 0.67})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "a double, b double, c double, bad boolean, grow boolean")
+    learned = rules.learn(df)
+    assert [[(x.feature, x.at_least, x.threshold) for x in r] for r in learned.rules] == plain_list(rows) and learned.rules
+    # Ties: equal columns and equal rows; the first feature and the lowest threshold win.
+    twin = df.withColumn("b", F.col("a"))
+    again = rules.learn(twin)
+    assert [[(x.feature, x.at_least, x.threshold) for x in r] for r in again.rules] == plain_list([{**r, "b": r["a"]} for r in rows])
+    assert rules.learn(df.where("false")).rules == []

@@ -54,6 +54,20 @@ def test_frames_round_trip(spark, docs, encoded):
     assert frames.read_shards(spark, frames.write_shards(docs.where("false"), WORD)).count() == 0
 
 
+def test_shards_end_by_size(spark, docs, encoded):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        shards = frames.write_shards(docs, WORD, shard_bytes=300)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(shards) > 8 and sum(s.docs for s in shards) == len(encoded)
+    got = sorted(frames.read_shards(spark, shards).collect(), key=lambda r: r.start)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter(encoded)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+
+
 def test_random_access_and_damage(tmp_path):
     path = tmp_path / "x.zst"
     writer = frames.FrameWriter(path.open("wb"))
