@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.llm import decontaminate, lines, near_dup, packing, rules
-from logmill.llm.storage import limit_batches, materialize
+from logmill.llm.storage import forget, limit_batches, materialize
 from logmill.llm.tokenize import tokenizer_path
 
 
@@ -77,7 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+            if number:
+                forget(before)
     return docs
