@@ -41,6 +41,8 @@ HOT, HOT_PAIRS, BUCKET = 1 << 17, 1 << 18, 2_000_000
 #: Occurrences in a slice from which it proposes a word as frequent.
 OFTEN = 8
 SLICE = 8 << 20
+#: Tasks that add up the totals of frequent words.
+PARTS = 16
 #: One in so many slices proposes frequent words (the first of a task always does).
 PROPOSE = 4
 
@@ -292,7 +294,7 @@ def count_cells(docs: DataFrame, routes, folder: str) -> DataFrame:
         hot_h, hot_u = h < TOP, u < TOP
         for kind, ids, at in ((WORD, h, hot_h), (CONTEXT, u, hot_u)):
             found, sums = _by(ids[at], c[at])
-            yield rows_of(b, kind, found, sums)
+            yield messages(b, kind, part_of(found, len(way.ids)), found, *sums.T)
         both = c[hot_h & hot_u & (c > 1)]
         size, many = np.unique(np.floor(np.log2(both) * 8).astype(np.int64), return_counts=True)
         yield rows_of(b, SIZES, size, many)
@@ -340,11 +342,11 @@ class Bucket:
         at = _find(words, self.h[self.away])
         return np.bincount(at[at >= 0], weights=t[self.away][at >= 0], minlength=len(words)).astype(np.int64)
 
-    def hot_sums(self, b: int, ts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def hot_sums(self, b: int, ts: list[np.ndarray], n_hot: int) -> Iterator[pa.RecordBatch]:
         """Tables of frequent words and contexts, and of all, in cells with several customers."""
         for kind, ids, at in ((WORD, self.h, self.hot_h), (CONTEXT, self.u, self.hot_u)):
             found, inverse = np.unique(ids[at], return_inverse=True)
-            yield rows_of(b, kind, found, np.stack([np.bincount(inverse, weights=t[at], minlength=len(found)) for t in ts], 1))
+            yield messages(b, kind, part_of(found, n_hot), found, *(np.bincount(inverse, weights=t[at], minlength=len(found)) for t in ts))
         yield rows_of(b, TOTAL, np.zeros(1), np.array([[t.sum() for t in ts]]))
 
 
@@ -354,9 +356,24 @@ def _sums(rows: DataFrame, kind: int, width: int) -> tuple[np.ndarray, np.ndarra
     return got["key"].to_numpy(), np.column_stack([got[f"v{k}"].to_numpy() for k in range(width)]) if got.num_rows else np.zeros((0, width), np.int64)
 
 
-def _spread_out(keys: np.ndarray, vs: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((vs.shape[1], n), np.int64)
-    out[:, keys] = vs.T
+def part_of(ranks: np.ndarray, n_hot: int) -> np.ndarray:
+    """Which of ``PARTS`` tasks adds up a frequent word's totals."""
+    return ranks.astype(np.int64) * PARTS // max(1, n_hot)
+
+
+def _hot_totals(rows: DataFrame, kind: int, width: int, n_hot: int) -> np.ndarray:
+    """Totals of frequent words by rank (width x words), added up by ``PARTS`` tasks from what buckets sent."""
+
+    def add(part: int, sent: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        found = received(sent, kind, width)
+        keys, at = np.unique(np.concatenate([k for _, k, _ in found]), return_inverse=True)
+        values = np.concatenate([v for _, _, v in found])
+        yield messages(part, kind, np.zeros(len(keys)), keys, *(np.bincount(at, weights=v, minlength=len(keys)) for v in values.T))
+
+    out = np.zeros((width, n_hot), np.int64)
+    for r in gathered(rows.where(F.col("kind") == kind), PARTS, add).select("blob").collect():  # a row per part
+        keys, *values = unpack_arrays(r["blob"])
+        out[:, keys.astype(np.int64)] = np.stack(values)
     return out
 
 
@@ -407,8 +424,8 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
     n_hot, buckets = len(routes.ids), routes.buckets
     cells = count_cells(docs, sent, folder)
     customers, n_cells, singles, twos = (int(v) for v in _sums(cells, TOTAL, 4)[1].sum(axis=0))
-    word_c, word_kinds, word_single = _spread_out(*_sums(cells, WORD, 3), n_hot)
-    context_c, context_kinds, context_single = _spread_out(*_sums(cells, CONTEXT, 3), n_hot)
+    word_c, word_kinds, word_single = _hot_totals(cells, WORD, 3, n_hot)
+    context_c, context_kinds, context_single = _hot_totals(cells, CONTEXT, 3, n_hot)
     size, many = _sums(cells, SIZES, 1)
     room, cut = hot_pairs, None
     for s, m in sorted(zip(size.tolist(), many.ravel().tolist()), reverse=True):
@@ -470,7 +487,7 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
             new[moves] = draw_tables(here.c[moves], t[moves], of_word[moves], of_context[moves], all_tables, discount, root_discount, uniform(seed, number, 1, k), uniform(seed, number, 2, k), 3 if number else 12)
             kept = [*here.tables[1:], new] if number >= rounds else []
             cells_path, words_path, *_ = path.split("\n")
-            yield from here.hot_sums(b, [new])
+            yield from here.hot_sums(b, [new], n_hot)
             yield rows_of(b, ASKED, here.asked, here.own_tables(new)[_find(here.own, here.asked)])
             away = np.unique(here.h[here.away])
             yield rows_of(b, ASKED, away, here.away_tables(away, new))
@@ -478,15 +495,15 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
 
         drawn = materialize(gathered(state.unionByName(replies), buckets, draw), "lm-round")
         state, replies = drawn.where(F.col("kind") == FILE), _answers(drawn.where(F.col("kind") == ASKED))
-        of_words = word_single + _spread_out(*_sums(drawn, WORD, 1), n_hot)[0]
-        of_contexts = context_single + _spread_out(*_sums(drawn, CONTEXT, 1), n_hot)[0]
+        of_words = word_single + _hot_totals(drawn, WORD, 1, n_hot)[0]
+        of_contexts = context_single + _hot_totals(drawn, CONTEXT, 1, n_hot)[0]
         root = float(singles + _sums(drawn, TOTAL, 1)[1].sum())
 
     def finish(b: int, rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
         path = _path_of(rows)
         here = Bucket(path)
         ts = here.tables[1:]
-        yield from here.hot_sums(b, ts)
+        yield from here.hot_sums(b, ts, n_hot)
         yield messages(b, SHARED, sent.value.owner(here.shared), here.shared, *(here.away_tables(here.shared, t) for t in ts))
         if cut is not None:
             pick = here.hot_h & here.hot_u & (np.floor(np.log2(here.c) * 8).astype(np.int64) >= cut)
@@ -494,8 +511,8 @@ def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot:
         yield blobs_of([b], FILE, 0, [b""], [path])
 
     last = materialize(gathered(state, buckets, finish), "lm-samples")
-    words = np.concatenate(([word_c], word_single + _spread_out(*_sums(last, WORD, samples), n_hot)))
-    contexts = np.concatenate(([context_c], context_single + _spread_out(*_sums(last, CONTEXT, samples), n_hot)))
+    words = np.concatenate(([word_c], word_single + _hot_totals(last, WORD, samples, n_hot)))
+    contexts = np.concatenate(([context_c], context_single + _hot_totals(last, CONTEXT, samples, n_hot)))
     roots = [float(singles + v) for v in _sums(last, TOTAL, samples)[1].sum(axis=0)]
 
     def answer(b: int, rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
