@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import mix
-
 
 def frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
     """Rows of ``counts`` with the largest ``column``: all from some value on, ``limit`` at most.
@@ -62,6 +60,3 @@ class Bloom:
             bit = (keys << np.uint64(k * 19)) >> np.uint64(64 - self.log2_bits)
             ok &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
         return ok
-
-
-__all__ = ["Bloom", "frequent", "mix"]

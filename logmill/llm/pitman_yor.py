@@ -14,7 +14,8 @@ closed-form posteriors, in the tests) and normal around a saddle point beyond (a
 exact moments).  Within a round a random half of the cells is drawn at once (all in
 the first) given the totals of the round before, the usual approximation of
 distributed samplers.  The chain goes on from round to round; predictive
-probabilities are averaged over the last ones.  Random numbers come from a hash of
+probabilities are averaged over the last ones (held-out scores change in the fourth
+digit after the first round, see the README).  Random numbers come from a hash of
 word, context and round: results depend neither on partitions nor on retries.
 
 Discounts come from counts of counts; both strengths are fixed.  Texts are
@@ -162,7 +163,7 @@ def perplexity(scores: DataFrame) -> float:
     return 10.0 ** (-r["s"] / r["n"])
 
 
-def score_corpus(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17) -> DataFrame:
+def score_corpus(docs: DataFrame, rounds: int = 2, samples: int = 3, seed: int = 17) -> DataFrame:
     """Learn from the training rows of ``docs`` (doc_id, text) and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     from logmill.llm import restaurants
 

@@ -416,7 +416,7 @@ def _path_of(rows: dict[int, list]) -> str:
     return paths[0] if paths else "\n"
 
 
-def fit(docs: DataFrame, rounds: int = 4, samples: int = 3, seed: int = 17, hot: int = HOT, bucket: int = BUCKET, hot_pairs: int = HOT_PAIRS) -> Fitted:
+def fit(docs: DataFrame, rounds: int = 2, samples: int = 3, seed: int = 17, hot: int = HOT, bucket: int = BUCKET, hot_pairs: int = HOT_PAIRS) -> Fitted:
     """Learn from the rows of ``docs`` (text, train) with ``train``; ``rounds`` settle before the samples."""
     spark = docs.sparkSession
     folder, routes = new_folder(spark, "lm-files"), routes_of(docs, hot, bucket)

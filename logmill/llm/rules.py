@@ -12,7 +12,10 @@ At most about ``MAX_LABELLED`` labelled rows are learned from (chosen by a hash
 ``doc_id``); everything else covers all rows.  Null text: no words.  Without both
 kinds of labels the list is empty and rejects nothing.  Null labels and label
 rows without a document are ignored; a document labelled twice counts as bad if
-any label says so.  Repeated ``doc_id``s are separate documents.
+any label says so.  Repeated ``doc_id``s are separate documents.  Of literals with equal
+gain the first feature's with the lowest threshold is taken.  An empty table gives no
+rows and an empty list.  Names of other columns do not matter.  A text is one row of
+arrays, so a very long one needs some fifty times its size in its task's heap.
 """
 
 from __future__ import annotations

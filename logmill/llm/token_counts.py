@@ -9,7 +9,8 @@
 
 For byte-level BPE files.  The strings of special tokens count as the library's
 default has it (one token).  Null or empty text: no tokens.  Repeated ``doc_id``s
-give one row each; an empty table gives no rows.
+give one row each; an empty table gives no rows.  Columns but doc_id and text are not
+looked at.  A very long text is cut into pre-tokens in one piece, by its task.
 """
 
 from __future__ import annotations
