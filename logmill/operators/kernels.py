@@ -29,8 +29,28 @@ def word_positions(texts: DataFrame, doc: str, column: str = "text") -> DataFram
 
 
 def inverted_index(texts: DataFrame, doc: str, column: str = "text") -> DataFrame:
-    """``word, doc, positions``: a posting per word and document, so no list grows with the corpus."""
-    return word_positions(texts, doc, column).groupBy("word", "doc").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``word, doc, positions``: a posting per word and document, so no list grows with the corpus.
+
+    A document in one row has its postings made there, from one sort of its words;
+    only rows of documents that come more than once are shuffled.
+    """
+    rows = texts.select(F.col(doc).alias("doc"), F.col(column).alias("_text"))
+    again = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    if again.isEmpty():
+        return _postings(rows)
+    several = word_positions(rows.join(again, rows.doc.eqNullSafe(again.doc), "left_semi"), "doc", "_text")
+    grouped = several.groupBy("word", "doc").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return _postings(rows.join(again, rows.doc.eqNullSafe(again.doc), "left_anti")).unionByName(grouped)
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """``word, doc, positions`` of each row (doc, _text) by itself."""
+    placed = rows.select("doc", F.sort_array(F.transform(words(F.col("_text")), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))).alias("_p"))
+    word = lambda i: F.get("_p", i)["word"]
+    edge = F.filter(F.sequence(F.lit(0), F.size("_p")), lambda i: (i == 0) | (i == F.size("_p")) | (word(i) != word(i - 1)))
+    placed = placed.where(F.size("_p") > 0).withColumn("_e", edge)
+    runs = F.transform(F.slice("_e", F.lit(1), F.size("_e") - 1), lambda i, k: F.struct(word(i).alias("word"), F.transform(F.slice("_p", i + 1, F.get("_e", k + 1) - i), lambda x: x["pos"]).alias("positions")))
+    return placed.select("doc", F.explode(runs).alias("_r")).select("_r.word", "doc", "_r.positions")
 
 
 def histogram(values: DataFrame, channel: str | Column, value: str | Column, weight: str | None = None) -> DataFrame:

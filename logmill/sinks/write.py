@@ -93,20 +93,27 @@ def post_lines(
     return sent.agg(F.coalesce(F.sum("succeeded"), F.lit(0)).alias("succeeded"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
 
 
-def fetch_all(urls: DataFrame, column: str = "url", timeout: float = 30.0, attempts: int = 1, body_limit: int = 1 << 20, proxy: str | None = None, cookie: str | None = None, method: str = "GET") -> DataFrame:
-    """``url, status, body`` of each address (status 0: no answer); bodies end after ``body_limit`` bytes."""
+def fetch_all(urls: DataFrame, column: str = "url", timeout: float = 30.0, attempts: int = 1, body_limit: int = 1 << 20, proxy: str | None = None, cookie: str | None = None, method: str = "GET", headers: str | None = None, jar: bool = False) -> DataFrame:
+    """``url, status, body`` of each address (status 0: no answer); bodies end after ``body_limit`` bytes.
+
+    ``headers`` names a column with a map of headers of each request; with ``jar`` a task
+    keeps the cookies that answers set and sends them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handlers = [urllib.request.ProxyHandler({"http": proxy, "https": proxy})] if proxy else []
+        if jar:
+            handlers.append(urllib.request.HTTPCookieProcessor())
         opener = urllib.request.build_opener(*handlers)
         for b in batches:
             found = b.column(0).to_pylist()
+            more = b.column(1).to_pylist() if headers else [None] * len(found)
             status, bodies = [], []
-            for url in found:
+            for url, own in zip(found, more):
                 code, body = 0, None
                 for _ in range(attempts):
                     try:
-                        request = urllib.request.Request(url, headers={"Cookie": cookie} if cookie else {}, method=method)
+                        request = urllib.request.Request(url, headers=({"Cookie": cookie} if cookie else {}) | dict(own or {}), method=method)
                         with opener.open(request, timeout=timeout) as answer:
                             code, body = answer.status, answer.read(body_limit).decode("utf-8", "replace")
                         break
@@ -119,4 +126,4 @@ def fetch_all(urls: DataFrame, column: str = "url", timeout: float = 30.0, attem
                 bodies.append(body)
             yield pa.RecordBatch.from_pydict({"url": pa.array(found, pa.string()), "status": pa.array(status, pa.int32()), "body": pa.array(bodies, pa.string())})
 
-    return urls.select(column).mapInArrow(run, "url string, status int, body string")
+    return urls.select(column, *([headers] if headers else [])).mapInArrow(run, "url string, status int, body string")

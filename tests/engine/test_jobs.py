@@ -116,8 +116,10 @@ class Endpoint(BaseHTTPRequestHandler):
 
     def do_GET(self):
         self.send_response(404 if "none" in self.path else 200)
+        if "login" in self.path:
+            self.send_header("Set-Cookie", "who=me")
         self.end_headers()
-        self.wfile.write(b"hi")
+        self.wfile.write(" ".join(["hi", *(f"{k}={self.headers[k]}" for k in ("X-Tag", "Cookie") if self.headers[k])]).encode())
 
     def log_message(self, *a):
         pass
@@ -133,13 +135,17 @@ def test_http(spark):
     assert tuple(post_lines(bad, url, attempts=2).collect()[0]) == (0, 1)
     got = fetch_all(spark.createDataFrame([(url + "/a",), (url + "/none",), ("http://127.0.0.1:1/",)], "url string"), timeout=3)
     assert sorted((r.status, r.body) for r in got.collect()) == [(0, None), (200, "hi"), (404, None)]
+    rows = spark.createDataFrame([(f"{url}/login", None), (f"{url}/b", {"X-Tag": "7"})], "url string, h map<string,string>").coalesce(1)
+    assert [r.body for r in fetch_all(rows, headers="h", jar=True).collect()] == ["hi", "hi X-Tag=7 Cookie=who=me"]
     server.shutdown()
 
 
 def test_kernels(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b, A"), (2, "b Ç c"), (3, None)], "d int, text string")
     assert [tuple(r) for r in kernels.top_words(docs, 2).collect()] == [("A", 2), ("B", 2)]
-    assert {(r.word, r.doc): r.positions for r in kernels.inverted_index(docs, "d").collect()}[("A", 1)] == [0, 2]
+    assert {(r.word, r.doc): r.positions for r in kernels.inverted_index(docs, "d").collect()} == {("A", 1): [0, 2], ("B", 1): [1], ("B", 2): [0], ("C", 2): [1]}
+    twice = docs.unionByName(docs.where("d > 1"))
+    assert {(r.word, r.doc): r.positions for r in kernels.inverted_index(twice, "d").collect()} == {("A", 1): [0, 2], ("B", 1): [1], ("B", 2): [0, 0], ("C", 2): [1, 1]}
     generated = random_words(spark, 1000)
     assert kernels.word_positions(generated, "doc").count() == 1000
     pixels = bytes([1, 2, 3, 1, 2, 4])
