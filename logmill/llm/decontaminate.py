@@ -43,7 +43,7 @@ from logmill.llm.storage import file_system, materialize, new_folder
 
 WINDOW = 13
 #: Bytes of benchmark text in a block, of documents in a shard, and of blocks that a worker remembers.
-BLOCK, SHARD, REMEMBER = 4 << 20, 12 << 20, 64 << 20
+BLOCK, SHARD, REMEMBER = 4 << 20, 6 << 20, 64 << 20
 #: Matches that are spelled out at a time.
 MATCHES = 1 << 20
 

@@ -32,7 +32,7 @@ from logmill.llm.substrings import keyed
 
 WINDOW = 3
 #: Windows of which a task remembers the first place, at least; twice as many at most.
-REMEMBER = 200_000
+REMEMBER = 20_000
 _SPACE = b" \t\n\v\f\r"
 
 

@@ -16,7 +16,7 @@ from logmill.sources.scratch import discard, file_system, new_folder, shared_roo
 __all__ = ["discard", "file_system", "forget", "fresh", "limit_batches", "materialize", "new_folder", "shared_root"]
 
 
-def limit_batches(spark: SparkSession, size: str = "16m") -> None:
+def limit_batches(spark: SparkSession, size: str = "8m") -> None:
     """Let batches between the JVM and Python workers have ``size`` bytes at most.
 
     The default of 64 MB counts several times in an executor: on either side, per
