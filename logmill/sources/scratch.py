@@ -41,8 +41,8 @@ def discard(*paths: str) -> None:
         try:
             fs, local = file_system(path)
             fs.delete_dir(local)
-        except OSError:
-            pass  # never written, or gone already
+        except (OSError, ValueError):
+            pass  # never written, gone already, or in a store that only Spark reads
         if path in _made:
             _made.remove(path)
 
