@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -41,26 +40,66 @@ def give_back() -> None:
 class Words:
     """Words of some texts as dictionary codes.
 
-    ``codes[i]`` indexes ``names``; ``doc[i]`` is the row of the word; ``bounds``
+    ``codes[i]`` indexes ``dictionary``; ``doc[i]`` is the row of the word; ``bounds``
     holds, per row, where its words start (length rows + 1).
     """
 
-    def __init__(self, codes: np.ndarray, bounds: np.ndarray, names: list[str]):
-        self.codes, self.bounds, self.names = codes, bounds, names
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray, dictionary: pa.Array):
+        self.codes, self.bounds, self.dictionary = codes, bounds, dictionary
+
+    def __len__(self) -> int:
+        """How many different words there are."""
+        return len(self.dictionary)
+
+    @property
+    def names(self) -> list[str]:
+        return self.dictionary.to_pylist()
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
+    def word_hashes(self) -> np.ndarray:
+        """64-bit hash of every different word."""
+        return hash_strings(self.dictionary)
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word, by position."""
-        return hash_words(self.names)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+        return self.word_hashes()[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
 
 
-def hash_words(names: list[str]) -> np.ndarray:
-    if not names:
+_B = np.uint64(0x9E3779B97F4A7C15 | 1)
+_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+#: Random numbers for the values of a byte.
+_BYTES = np.random.default_rng(20_240_602).integers(0, 1 << 64, 256, np.uint64)
+
+
+def hash_strings(text: pa.Array) -> np.ndarray:
+    """64-bit hash of each string's bytes: a polynomial over random numbers for them, scrambled with the length.
+
+    Like ``rolling``, from prefix sums, so no string becomes a Python object.
+    """
+    text = flat_text(text)
+    if not len(text):
         return np.zeros(0, np.uint64)
-    return mix(pd.util.hash_array(np.array(names, dtype=object), categorize=False))
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64)[: len(text) + 1]
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    with np.errstate(over="ignore"):
+        power = np.full(len(raw) + 1, _B, np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        down = np.full(len(raw), _B_INV, np.uint64)
+        down[:1] = 1
+        np.cumprod(down, out=down)
+        prefix = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * down, out=prefix[1:])
+        value = (prefix[ends[1:]] - prefix[ends[:-1]]) * power[ends[:-1]]
+        return mix(value ^ mix(np.diff(ends).astype(np.uint64)))
+
+
+def hash_words(names: list[str]) -> np.ndarray:
+    return hash_strings(pa.array(names, pa.string()))
 
 
 def flat_text(text: pa.Array) -> pa.Array:
@@ -82,13 +121,13 @@ def split_words(text: pa.Array, lower: bool = False) -> Words:
     values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
     bounds = bounds - bounds[0]
     coded = values.dictionary_encode()
-    names = coded.dictionary.to_pylist()
     codes = coded.indices.to_numpy().astype(np.int64)
-    if "" in names:  # at the edges of a text
-        keep = codes != names.index("")
+    empty = np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)
+    if len(empty):  # at the edges of a text
+        keep = codes != empty[0]
         bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
         codes = codes[keep]
-    return Words(codes, bounds, names)
+    return Words(codes, bounds, coded.dictionary)
 
 
 def translate(text: pa.Array, table: np.ndarray) -> pa.Array:
@@ -120,10 +159,6 @@ def uniform(*keys: np.ndarray | int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
-
-
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash (modulo 2**64, then scrambled) of every ``width`` consecutive values.
 

@@ -112,7 +112,7 @@ def text_features(text: pa.Array) -> tuple[Sparse, np.ndarray]:
     for k in (1, 2):
         again[k:] |= (codes[k:] == codes[:-k]) & (doc[k:] == doc[:-k])
     pair_doc = doc[1:][doc[1:] == doc[:-1]]
-    pair = (codes[:-1] * max(1, len(words.names)) + codes[1:])[doc[1:] == doc[:-1]]
+    pair = (codes[:-1] * max(1, len(words)) + codes[1:])[doc[1:] == doc[:-1]]
     old = np.bincount(pair_doc, weights=~_fresh(pair_doc, pair), minlength=rows)
     shape = np.column_stack([
         share((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)),

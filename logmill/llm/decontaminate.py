@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import gather_runs, hash_words, pack_arrays, run_sums, slices, split_words, translate, unpack_arrays
+from logmill.llm.arrays import gather_runs, pack_arrays, run_sums, slices, split_words, translate, unpack_arrays
 from logmill.llm.frequent import Bloom
 from logmill.llm.storage import file_system, materialize, new_folder
 
@@ -260,7 +260,7 @@ def scan_shard(text: pa.Array, benchmark: Benchmark) -> dict[str, list | np.ndar
     """n_words, n_hit, the sorted item ids and the longest matches of each text."""
     words = words_of(text)
     n, rows = len(words.codes), len(text)
-    hashes = hash_words(words.names)
+    hashes = words.word_hashes()
     array = shard_array(hashes, words.codes, words.bounds, benchmark.words.has(hashes), benchmark.shortest)
     doc, cover = words.doc, np.zeros(n + 1, np.int64)
     items: list[set[str]] = [set() for _ in range(rows)]

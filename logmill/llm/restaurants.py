@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.arrays import give_back, hash_words, mix, pack_arrays, run_sums, slices, split_words, unpack_arrays, uniform
+from logmill.llm.arrays import give_back, mix, pack_arrays, run_sums, slices, split_words, unpack_arrays, uniform
 from logmill.llm.frequent import frequent
 from logmill.llm.pitman_yor import SCALE, discount_of, draw_tables, log_probability
 from logmill.llm.storage import file_system, materialize, new_folder
@@ -138,14 +138,14 @@ def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """``(codes, before, bounds, hashes)``: token ``i`` is ``hashes[codes[i]]`` after ``hashes[before[i]]``."""
     words = split_words(text, lower=True)
     rows = len(words.bounds) - 1
-    hashes = np.concatenate((hash_words(words.names), [END_HASH, START_HASH])).astype(np.uint64)
+    hashes = np.concatenate((words.word_hashes(), [END_HASH, START_HASH])).astype(np.uint64)
     bounds = words.bounds + np.arange(rows + 1)
-    codes = np.full(int(bounds[-1]), len(words.names), np.int64)
+    codes = np.full(int(bounds[-1]), len(words), np.int64)
     if len(words.codes):
         codes[np.arange(len(words.codes)) + words.doc] = words.codes
     before = np.empty_like(codes)
     before[1:] = codes[:-1]
-    before[bounds[:-1]] = len(words.names) + 1
+    before[bounds[:-1]] = len(words) + 1
     return codes, before, bounds, hashes
 
 
@@ -160,9 +160,9 @@ def routes_of(docs: DataFrame, hot: int, bucket: int) -> Routes:
                 if number % PROPOSE:
                     continue
                 words = split_words(part.column("text"), lower=True)
-                n = np.bincount(words.codes, minlength=len(words.names))
+                n = np.bincount(words.codes, minlength=len(words))
                 often = np.flatnonzero(n >= OFTEN)
-                ids = hash_words([words.names[i] for i in often.tolist()]) | TOP
+                ids = words.word_hashes()[often] | TOP
                 ids = np.concatenate((ids, [END_HASH | TOP, START_HASH | TOP, np.uint64(0)])).astype(np.uint64)
                 size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
                 ids = np.append(ids, np.uint64(1))

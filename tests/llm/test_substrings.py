@@ -2,9 +2,11 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest import words  # noqa: F401  (tests/llm)
 
 from logmill.llm import substrings
+from logmill.llm.arrays import hash_strings, hash_words
 
 
 def expected(doc_rows, width):
@@ -74,3 +76,14 @@ def test_empty(no_docs):
 def test_intervals():
     assert substrings.intervals([(0 << 31) | 2, (10 << 31) | 1, (3 << 31) | 1], 5) == [(0, 8), (10, 15)]
     assert substrings.intervals(np.array([], dtype=np.int64), 5) == []
+
+
+def test_hashes_of_strings():
+    """Equal strings have equal hashes wherever they stand; others differ, also those of zeros and swapped letters."""
+    rng = np.random.default_rng(2)
+    names = sorted({"".join(rng.choice(list("ab\0é"), rng.integers(0, 9))) for _ in range(4000)})
+    h = hash_words(names)
+    assert len(set(h.tolist())) == len(names)
+    order = rng.permutation(len(names))
+    assert (hash_words([names[i] for i in order]) == h[order]).all()
+    assert (hash_strings(pa.array(["x", *names]).slice(1)) == h).all() and len(hash_words([])) == 0
