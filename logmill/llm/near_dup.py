@@ -14,12 +14,12 @@ for a similarity of 0.85, 25 of 4 for 0.8.
 3. Sets of grouped classes are read again and links confirmed on them.  A group
    of usual size goes to one task, which grows one component at a time: a class
    is compared with all that no component holds yet, through the postings of its
-   shingles.  A group with more than ``LOCAL`` shingles is grown the same way by
-   joins, over the shingles that are rarest in the group: two linked sets share one
-   of their first ``n - 0.85 n + 1``.  The classes compared in a round double from
-   round to round, so copies are absorbed by the first few and a group that does not
-   link takes a number of rounds that grows with its logarithm (from ``ROUND`` classes
-   on, with its size over that).
+   shingles.  A group with more than ``LOCAL`` shingles is dealt into blocks of
+   half of that.  A block of classes picked by hash meets every other block first, which
+   joins most copies; then every two blocks meet in a task, except blocks that lie in
+   one component.  So any two classes of different components are compared.  These
+   tasks run in waves, each of which moves the groups' sets ``WAVE`` times on average;
+   only links that span a task's components are written.
 
 Pairs inside a band are never listed.  Shingle hashes have 64 bits.  Documents
 without words, and null texts, have the empty set and link with nothing.  Rows
@@ -31,26 +31,27 @@ A very long text is one set, held by one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmill.llm.arrays import gather_runs, inside, mix, rolling, slices, split_words
 from logmill.llm.components import components
 from logmill.llm.frequent import Bloom
-from logmill.llm.storage import fresh, materialize
+from logmill.llm.storage import forget, fresh, materialize
 from logmill.llm.substrings import keyed
 
 SHINGLE, THRESHOLD = 5, 85
 VALUES, MISS = 100, 1e-5
 #: Shingles of a group that one task takes.
 LOCAL = 2_000_000
-#: Classes of a larger group that its first round compares, and that a round compares at most.
-FIRST, ROUND = 4, 4096
+#: Copies of larger groups' sets that one wave of tasks reads.
+WAVE = 8
 
 
 def banding(threshold: int, values: int = VALUES) -> tuple[int, int]:
@@ -158,69 +159,61 @@ def group_links(sizes: np.ndarray, flat: np.ndarray, threshold: int = THRESHOLD)
     return label
 
 
-def _grow_by_joins(members: DataFrame, threshold: int) -> DataFrame:
-    """``(u, v)`` links that span the components of large groups; members: grp, cls, n, shingles (bytes)."""
-    spark = members.sparkSession
+def _links(tasks: DataFrame, by: list[str], threshold: int, name: str) -> DataFrame:
+    """``(u, v)`` links that span the components inside every task; tasks: cls, n, shingles (bytes) and the columns ``by``."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, c, n, raw in zip(*(batch.column(k).to_pylist() for k in ("grp", "cls", "n", "shingles"))):
-                x = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_pydict({"grp": np.full(len(x), g), "cls": np.full(len(x), c), "n": np.full(len(x), n), "x": x})
-
-    items = materialize(members.mapInArrow(unpack, "grp long, cls long, n long, x long"), "group-items")
-    common = items.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("f"))
-    by_set = items.join(common, ["grp", "x"]).groupBy("grp", "cls", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
-    needed = (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int")
-    rarest = materialize(by_set.select("grp", "cls", "n", F.explode(F.slice("xs", F.lit(1), needed)).alias("s")).select("grp", "cls", "n", F.col("s.x").alias("x")), "group-rarest")
-    # state 0: in no component yet; 1: in one, not compared yet; 2: compared. Members of one component carry one label.
-    state = materialize(members.select("grp", "cls", F.lit(0).alias("state"), F.lit(None).cast("long").alias("label")), "group-state")
-    links, turn = spark.createDataFrame([], "u long, v long"), 0
-    while True:
-        # A group is finished once all its classes are in one component or compared.
-        busy = state.groupBy("grp").agg(F.count_if(F.col("state") < 2).alias("left"), F.count_if(F.col("state") == 0).alias("none"), F.count_distinct("label").alias("labels"))
-        busy = busy.where("left > 0 and (none > 0 or labels > 1)").select("grp")
-        if not busy.take(1):
-            return links
-        size = min(ROUND, FIRST << min(turn, 30))
-        turn += 1
-        # Waiting classes come first; a group without any gets new seeds. A hash of class and round picks about ``size`` of them.
-        open_ = state.where("state < 2").join(busy, "grp", "left_semi")
-        sizes = open_.groupBy("grp").agg(
-            F.count_if(F.col("state") == 1).alias("waiting"),
-            F.count_if(F.col("state") == 0).alias("fresh"),
-            F.min_by("cls", F.struct(-F.col("state"), F.xxhash64("cls"))).alias("sure"),
-        )
-        dice = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        share = F.when(F.col("waiting") == 0, size / F.col("fresh")).when(F.col("state") == 1, size / F.col("waiting")).otherwise(0.0)
-        picked = open_.join(sizes, "grp").where((F.col("cls") == F.col("sure")) | (dice < share))
-        pivots = materialize(picked.select("grp", "cls", F.coalesce("label", "cls").alias("mine")), "group-pivots")
-        marked = state.join(pivots, ["grp", "cls"], "left")
-        left = rarest.join(pivots, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("mine").alias("lu"))
-        targets = marked.where("state < 2").select("grp", "cls", F.coalesce("mine", "label").alias("lv"))
-        right = rarest.join(targets, ["grp", "cls"]).select("grp", "x", F.col("cls").alias("v"), F.col("n").alias("nv"), "lv")
-        met = left.join(right, ["grp", "x"]).where("u <> v and (lv is null or lu <> lv)").where(100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))
-        met = met.select("grp", "u", "nu", "lu", "v", "nv", "lv").distinct()
-        of_u, of_v = (items.select("grp", F.col("cls").alias(c), "x") for c in ("u", "v"))
-        both = met.join(of_u, ["grp", "u"]).join(of_v, ["grp", "v", "x"]).groupBy("grp", "u", "nu", "lu", "v", "nv", "lv").agg(F.count(F.lit(1)).alias("both"))
-        enough = 100 * F.col("both") >= threshold * (F.col("nu") + F.col("nv") - F.col("both"))
-        new = materialize(both.where(enough).select("grp", "u", "v", "lu", "lv"), "group-links")
-        links = links.unionByName(new.select("u", "v"))
-        reached = new.where("lv is null").groupBy("grp", F.col("v").alias("cls")).agg(F.min("lu").alias("first"))
-        joined = new.join(reached.withColumnRenamed("cls", "v"), ["grp", "v"], "left")
-        merged = components(joined.select(F.col("lu").alias("u"), F.coalesce("lv", "first").alias("v")), "group-labels")
-        moved = marked.join(reached, ["grp", "cls"], "left").select(
-            "grp",
-            "cls",
-            F.when(F.col("mine").isNotNull(), 2).when((F.col("state") == 0) & F.col("first").isNotNull(), 1).otherwise(F.col("state")).alias("state"),
-            F.coalesce("mine", "label", "first").alias("old"),
-        )
-        moved = moved.join(merged.withColumnRenamed("v", "old"), "old", "left")
-        state = materialize(moved.select("grp", "cls", "state", F.coalesce("root", "old").alias("label")), "group-state")
-
-
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LOCAL) -> DataFrame:
-    """``_key, doc_id, n_shingles, component_id`` per row of ``docs`` (doc_id, text)."""
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("cls").sort_values("cls", ignore_index=True)
+        flat = np.frombuffer(b"".join(rows["shingles"]), np.uint64)
+        first = _first_of(group_links(rows["n"].to_numpy(), flat, threshold))
+        out = pd.DataFrame({"u": rows["cls"], "v": rows["cls"].to_numpy()[first]})
+        return out[out["u"] != out["v"]]
+
+    return materialize(tasks.groupBy(*by).applyInPandas(compare, "u long, v long"), name)
+
+
+def _grow_by_blocks(large: DataFrame, threshold: int, local: int) -> DataFrame:
+    """``(cls, root)`` of groups too large for a task; large: grp, cls, n, total, shingles (bytes)."""
+    def dealt(total: Column, salt: str) -> Column:
+        return F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(2 * total / local))
+
+    loops = large.select(F.col("cls").alias("u"), F.col("cls").alias("v"))
+    rows = large.withColumn("block", dealt(F.col("total"), "block")).withColumn("pivot", dealt(F.col("total"), "pivot") == 0)
+    blocks = rows.where("not pivot").select("grp", "block").distinct()
+    columns = ("grp", "block", "cls", "n", "shingles")
+    near = rows.where("not pivot").select(*columns).unionByName(rows.where("pivot").drop("block").join(blocks, "grp").select(*columns))
+    links = [_links(near, ["grp", "block"], threshold, "group-links")]
+    labels = components(links[0].unionByName(loops), "group-labels").select(F.col("v").alias("cls"), F.col("root").alias("label"))
+    # Components that fill a block have blocks of their own, the other classes of a group share the rest.
+    known = materialize(large.select("grp", "cls", "n").join(labels, "cls"), "group-known")
+    forget(labels)
+    held = known.groupBy("grp", "label").agg(F.sum("n").alias("held"))
+    rest = 2 * F.col("held") < local
+    own = known.join(held, ["grp", "label"]).select("grp", "cls", "n", rest.alias("rest"), F.when(~rest, F.col("label")).otherwise(0).alias("own"))
+    filled = own.groupBy("grp", "rest", "own").agg(F.sum("n").alias("filled"))
+    placed = own.join(filled, ["grp", "rest", "own"])
+    placed = materialize(placed.withColumn("block", F.xxhash64("grp", "rest", "own", dealt(F.col("filled"), "again"))), "group-blocks")
+    sizes = placed.groupBy("grp", "rest", "own", "block").agg(F.sum("n").alias("size"))
+    a, b = (sizes.select("grp", *(F.col(c).alias(f"{c}_{k}") for c in ("rest", "own", "block", "size"))) for k in "ab")
+    met = a.join(b, "grp").where("block_a <= block_b and (rest_a or rest_b or own_a <> own_b)")
+    pairs = materialize(met.select(F.xxhash64("block_a", "block_b").alias("pair"), "block_a", "block_b", (F.col("size_a") + F.col("size_b")).alias("size")), "group-pairs")
+    volume = pairs.agg(F.sum("size")).collect()[0][0] or 0
+    waves = math.ceil(volume / (WAVE * max(1, known.agg(F.sum("n")).collect()[0][0] or 0)))
+    for wave in range(waves):
+        now = pairs.where(F.pmod(F.xxhash64("pair", F.lit("wave")), F.lit(waves)) == wave)
+        now = now.select("pair", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+        sets = large.select("cls", "n", "shingles").join(placed.select("cls", "block"), "cls").join(now, "block")
+        links.append(_links(sets.select("pair", "cls", "n", "shingles"), ["pair"], threshold, "group-links"))
+    every = loops
+    for more in links:
+        every = every.unionByName(more)
+    found = materialize(components(every, "large-groups").select(F.col("v").alias("cls"), "root"), "group-roots")
+    forget(known, placed, pairs, *links)
+    return found
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LOCAL, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """``_key, doc_id, n_shingles, component_id`` per row of ``docs`` (doc_id, text); ``scratch`` gets the tables that the result still reads."""
     spark = docs.sparkSession
     sketch = materialize(sketches(docs, threshold), "sketches")
     classes = materialize(
@@ -232,6 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LO
     edges = banded.join(shared, "band").select("u", F.col("cls").alias("v")).distinct()
     groups = components(edges, "candidates").select(F.col("v").alias("cls"), F.col("root").alias("grp"))
     members = materialize(groups.join(classes.select("cls", "least", "n"), "cls"), "members")
+    forget(groups)
     # Sixteen bits a class, as far as the filter's bound allows: beyond it more sets are read than needed.
     bits = min(28, max(16, (16 * members.count()).bit_length()))
     wanted = spark.sparkContext.broadcast(Bloom.of(members, F.xxhash64("cls"), bits))
@@ -257,12 +251,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, local: int = LO
 
     small = full.where(F.col("total") <= local)
     found = small.groupBy("grp").applyInPandas(local_group, "cls long, root long")
-    large = full.where(F.col("total") > local).select("grp", "cls", "n", "shingles")
+    large = full.where(F.col("total") > local).select("grp", "cls", "n", "total", "shingles")
     if large.take(1):
-        links = _grow_by_joins(large, threshold)
-        loops = large.select(F.col("cls").alias("u"), F.col("cls").alias("v"))
-        found = found.unionByName(components(links.unionByName(loops), "large-groups").select(F.col("v").alias("cls"), "root"))
-    rooted = materialize(found, "links").join(members.select("cls", "least"), "cls")
+        found = found.unionByName(_grow_by_blocks(large, threshold, local))
+    linked = materialize(found, "links")
+    forget(full)
+    if scratch is not None:
+        scratch += [sketch, classes, members, linked]
+    rooted = linked.join(members.select("cls", "least"), "cls")
     names = rooted.groupBy("root").agg(F.min("least").alias("name"))
     named = rooted.join(names, "root").select("cls", "name")
     final = classes.join(named, "cls", "left").select("n", "d1", "d2", F.coalesce("name", "least").alias("name"))
@@ -284,6 +280,19 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows equal in id and text stay or go together; where no id of a component is
     known, all its rows stay.
     """
-    out, key = near_duplicates(docs, threshold), fresh(docs, "_key")
+    scratch: list[DataFrame] = []
+    out, key, probe = near_duplicates(docs, threshold, scratch=scratch), fresh(docs, "_key"), fresh(docs, "_probe")
     gone = out.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("_key").alias(key)).distinct()
-    return keyed(docs, key).join(gone, key, "left_anti").select(*docs.columns)
+    gone = materialize(gone, "near-copies")
+    forget(*scratch)
+    # Only rows that the filter finds are shuffled.
+    bits = min(28, max(16, (16 * gone.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(gone, F.xxhash64(key), bits))
+
+    @F.arrow_udf("boolean")
+    def may_go(hashes: pa.Array) -> pa.Array:
+        return pa.array(sent.value.has(hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    rows = keyed(docs, key).withColumn(probe, may_go(F.xxhash64(key)))
+    sure, unsure = rows.where(~F.col(probe)), rows.where(F.col(probe)).join(gone, key, "left_anti")
+    return sure.select(*docs.columns).union(unsure.select(*docs.columns))

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from conftest import words
 
 from logmill.llm import near_dup
 from logmill.llm.components import components
+from logmill.llm.storage import shared_root
 
 
 def sets(text):
@@ -90,6 +92,38 @@ def test_large_groups(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(rows)
 
 
+def test_large_groups_move_few_bytes(spark, tmp_path):
+    """A group of texts that are alike but not linked: what is shuffled stays in proportion to its sets, and what is written goes."""
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(400)]
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(400), 14):
+            w[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = shuffled(spark)
+    got = near_dup.near_duplicates(docs, local=80_000).collect()
+    moved = shuffled(spark) - before
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected(rows)
+    assert moved < 12 * 8 * sum(r.n_shingles for r in got)
+
+
+def shuffled(spark):
+    """Bytes that all stages of the session so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_keep_one_leaves_little(spark, docs):
+    """Scratch tables go before the result is read, and no text is shuffled for rows that stay."""
+    root = Path(shared_root(spark).removeprefix("file://"))
+    before = set(root.glob("*"))
+    kept = near_dup.keep_one(docs)
+    assert {p.name.rpartition("-")[0] for p in set(root.glob("*")) - before} == {"near-copies"}
+    assert kept.count()
+
+
 def test_keep_one(docs, doc_rows):
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("_KEY <> 'z'").count() == 0
