@@ -13,6 +13,9 @@ from logmill.functions.text import shift_letters, words
 #: The words that the string match looks for.
 TARGET_WORDS = ("Helloworld", "howareyou", "ferrari", "whotheman")
 
+#: Bytes of a matrix of points, and of a task's points.
+BLOCK, PART = 1 << 19, 64 << 20
+
 
 def word_count(texts: DataFrame, column: str = "text") -> DataFrame:
     """``word, n``: runs of ASCII letters, upper-cased, over all texts."""
@@ -97,33 +100,128 @@ def kmeans(points: DataFrame, k: int, order: str = "id", point: str = "point", i
     """Lloyd's algorithm from the first ``k`` points (by ``order``) until no assignment changes.
 
     Returns the means and the assigned points. An empty cluster keeps its mean.
-    Only k x dimensions numbers reach the driver in a round; assignments are
-    unchanged when the means are.  Means that
+    The points are read once, into matrices that stay with the executors; a round is one
+    job over them, and a task of it sends k x dimensions numbers to the driver.
+    Points without a place (null, with a null in them, of another length) belong to no
+    cluster.  Assignments are unchanged when the means are.  Means that
     come back (truncated ones can) would go round for ever: an error, as is an end
     by ``most_rounds``.
     """
     means = [list(map(float, r[0])) for r in points.orderBy(order).limit(k).select(point).collect()]
+    if not means or not means[0]:
+        return means, assign_nearest(points, means, point)
     seen = {str(means)}
-    while True:
-        if most_rounds is not None and len(seen) > most_rounds:
-            raise RuntimeError(f"k-means: means still change after {most_rounds} rounds")
-        new = [list(m) for m in means]
-        for r in cluster_means(assign_nearest(points, means, point), point, integer).collect():
-            new[r["cluster"]][r["dim"]] = float(r["mean"])
-        if new == means:
-            break
-        # Sums in another order differ in their last digits: the assignments decide.
-        if all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(new, means) for a, b in zip(x, y)):
-            was = assign_nearest(points, means, point).withColumnRenamed("cluster", "_was")
-            if assign_nearest(was, new, point).where("cluster <> _was").isEmpty():
+    blocks = _blocks(points.select(F.col(point).cast("array<double>")), len(means[0])).persist()
+    try:
+        while True:
+            if most_rounds is not None and len(seen) > most_rounds:
+                raise RuntimeError(f"k-means: means still change after {most_rounds} rounds")
+            new, _ = _next_means(blocks, means, integer)
+            if new == means:
                 break
-        if str(new) in seen:
-            raise RuntimeError("k-means: means come back without settling")
-        seen.add(str(new))
-        means = new
+            # Sums in another order differ in their last digits: the assignments decide.
+            if all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(new, means) for a, b in zip(x, y)):
+                if not _next_means(blocks, new, integer, was=means)[1]:
+                    break
+            if str(new) in seen:
+                raise RuntimeError("k-means: means come back without settling")
+            seen.add(str(new))
+            means = new
+    finally:
+        blocks.unpersist()
     return means, assign_nearest(points, means, point)
 
 
+def _blocks(points: DataFrame, dims: int) -> DataFrame:
+    """``n, block``: the points as matrices of ``n`` rows in bytes, dealt evenly; single precision where that loses nothing."""
+    high = max(1, BLOCK // (8 * dims))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            rows = b.column(0)
+            whole = pc.fill_null(pc.equal(pc.list_value_length(rows), dims), False)
+            if rows.flatten().null_count:
+                nulls = pc.list_parent_indices(rows).filter(rows.flatten().is_null())
+                whole = pc.and_(whole, pc.invert(pc.is_in(pa.array(range(len(rows)), nulls.type), nulls)))
+            x = rows.filter(whole).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            for at in range(0, len(x), high):
+                part = x[at : at + high]
+                with np.errstate(over="ignore"):
+                    single = part.astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"n": [len(part)], "block": [(single if np.array_equal(single, part) else part).tobytes()]})
+
+    spark, n = points.sparkSession, points.count()
+    parts = max(min(spark.sparkContext.defaultParallelism, -(-n // high)), -(-n * dims * 8 // PART), 1)
+    return points.mapInArrow(pack, "n long, block binary").repartition(parts)
+
+
+def _next_means(blocks: DataFrame, means: list[list[float]], integer: bool = False, was: list[list[float]] | None = None) -> tuple[list[list[float]], int]:
+    """The means of what is nearest to each of ``means``, and how many points ``was`` assigns otherwise."""
+
+    def step(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        now, before = np.array(means), None if was is None else np.array(was)
+        sums, counts, moved = np.zeros(now.shape), np.zeros(len(now), np.int64), 0
+        for b in batches:
+            for n, block in zip(b.column(0).to_pylist(), b.column(1)):
+                held = block.as_buffer()
+                x = np.frombuffer(held, np.float32 if held.size == 4 * n * now.shape[1] else np.float64).reshape(n, -1).astype(np.float64)
+                cluster = _nearest(x, now)
+                if before is not None:
+                    moved += int(np.count_nonzero(cluster != _nearest(x, before)))
+                own = np.bincount(cluster, minlength=len(now))
+                found = np.flatnonzero(own)
+                sums[found] += np.add.reduceat(x[np.argsort(cluster, kind="stable")], (np.cumsum(own) - own)[found], axis=0)
+                counts += own
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "moved": [moved], "counts": [counts.tobytes()], "sums": [sums.tobytes()]})
+
+    import numpy as np
+
+    new, moved = [list(m) for m in means], 0
+    sums, counts = np.zeros((len(new), len(new[0]))), np.zeros(len(new), np.int64)
+    # In the order of the parts, so that the same assignments give the same sums.
+    for r in sorted(blocks.mapInArrow(step, "part long, moved long, counts binary, sums binary").collect(), key=lambda r: r["part"]):
+        sums += np.frombuffer(r["sums"]).reshape(sums.shape)
+        counts += np.frombuffer(r["counts"], np.int64)
+        moved += r["moved"]
+    for c in np.flatnonzero(counts):
+        mean = sums[c] / counts[c]
+        new[c] = (np.trunc(mean) + 0.0 if integer else mean).tolist()
+    return new, moved
+
+
+def _nearest(x, means):
+    """``assign_nearest`` of the rows of a matrix: by products, and where these leave a doubt by the same sums in the same order."""
+    import numpy as np
+
+    with np.errstate(all="ignore"):
+        size = (means * means).sum(1)
+        score = size - 2 * (x @ means.T)
+        cluster = score.argmin(1)
+        if len(means) == 1:
+            return cluster
+        doubt = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (np.einsum("ij,ij->i", x, x) + size.max())
+        close = np.flatnonzero(np.count_nonzero(score <= (score.min(1) + doubt)[:, None], axis=1) != 1)
+        if len(close):
+            best, at = np.full(len(close), np.nan), np.zeros(len(close), cluster.dtype)
+            for c, m in enumerate(means):
+                d = np.zeros(len(close))
+                for j in range(x.shape[1]):
+                    v = x[close, j] - m[j]
+                    d += v * v
+                nearer = (d < best) | (np.isnan(best) & ~np.isnan(d))  # as Spark orders: NaN is above all numbers
+                best[nearer], at[nearer] = d[nearer], c
+            cluster[close] = at
+    return cluster
+
+
 def row_covariance(matrix: DataFrame, integer: bool = False) -> DataFrame:
     """``i, j, cov`` for ``i <= j``: covariance of the rows of a matrix in coordinates (i, j, v); absent cells are 0, as in ``matrix_product``.
 

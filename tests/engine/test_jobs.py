@@ -204,6 +204,47 @@ def test_kmeans_is_lloyds_algorithm(spark):
     assert all(a == pytest.approx(b) for x, y in zip(found, means) for a, b in zip(x, y))
 
 
+def test_kmeans_reads_its_points_once(spark):
+    """However many rounds: the start, the number of points, the matrices, and the assigned points."""
+    rng = random.Random(8)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, [rng.gauss(0.0, 1.0) for _ in range(5)]) for i in range(2000)]
+    points = spark.createDataFrame(rows, "id long, point array<double>").mapInArrow(counted, "id long, point array<double>")
+    with pytest.raises(RuntimeError):
+        kernels.kmeans(points, 4, most_rounds=3)
+    read.value = 0
+    _, assigned = kernels.kmeans(points, 4)
+    assert assigned.count() == 2000 and read.value <= 4 * 2000
+
+
+def test_kmeans_leaves_out_points_without_a_place(spark):
+    rows = [(0, [0.0, 0.0]), (1, [8.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [4.0]), (6, [8.0, 2.0]), (7, [4.0, 1.0])]
+    means, assigned = kernels.kmeans(spark.createDataFrame(rows, "id long, point array<double>"), 2)
+    assert {r.id: r.cluster for r in assigned.collect()} == {0: 0, 1: 1, 2: 0, 3: None, 4: None, 5: None, 6: 1, 7: 0}
+    assert means == [[pytest.approx(4 / 3), 1.0], [8.0, 1.0]]
+
+
+def test_rounds_assign_as_the_expression_does(spark):
+    """Ties, equal means, numbers far from 0, very large ones and NaN."""
+    import numpy as np
+
+    rng = random.Random(2)
+    means = [[float(rng.randrange(3)) for _ in range(3)] for _ in range(6)]
+    rows = [[float(rng.randrange(-1, 4)) for _ in range(3)] for _ in range(400)]
+    far = [[v + 1e8 for v in p] for p in means]
+    odd = [[float("nan"), 0.0, 0.0], [1e200, 0.0, 0.0], [1e160, 1.0, 0.0], [float("inf"), 0.0, 0.0]]
+    for ps, ms in ((rows, means), ([[v + 1e8 for v in p] for p in rows], far), (odd, means), (rows, [[1e200, 0.0, 0.0], [float("nan"), 0.0, 0.0], [-1e200, 0.0, 0.0]])):
+        df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "id long, point array<double>")
+        want = [r.cluster for r in kernels.assign_nearest(df, ms).orderBy("id").collect()]
+        assert kernels._nearest(np.array(ps), np.array(ms)).tolist() == want
+
+
 def test_absent_cells_are_zeros(spark):
     cells = [(0, 0, 3.0), (0, 2, 4.0), (2, 1, 5.0)]
     full = [[3.0, 0.0, 4.0], [0.0, 0.0, 0.0], [0.0, 5.0, 0.0]]
