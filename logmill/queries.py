@@ -553,10 +553,15 @@ def random_words_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("positions"), (F.max(F.length("word")) == 3).alias("all_short"))
 
 
+#: Orders of a log file, about.
+FILE_ROWS = 250_000
+
+
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
-    """Orders as two kinds of text files with a header, comments and blank lines, below the shared folder."""
-    folder = new_folder(spark, "logs")
-    orders = table(spark, sf_dir, "orders").repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey")
+    """Orders as text files with a header, comments and blank lines, below the shared folder."""
+    folder, orders = new_folder(spark, "logs"), table(spark, sf_dir, "orders")
+    # As many files as the rows ask for, so that no task sorts or writes more than a file's.
+    orders = orders.repartitionByRange(max(2, -(-orders.count() // FILE_ROWS)), "o_orderkey").sortWithinPartitions("o_orderkey")
     row = F.concat_ws(",", F.col("o_orderstatus"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(',x"')), F.col("o_orderkey").cast("string"))
     noise = F.when(F.col("o_orderkey") % 5 == 0, F.lit("# a comment")).when(F.col("o_orderkey") % 7 == 0, F.lit("   ")).when(F.col("o_orderkey") % 11 == 0, F.lit("\t \x0b")).otherwise(F.lit("bad line"))
     lines = orders.select(F.explode(F.array(row, noise)).alias("value"))
