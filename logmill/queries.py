@@ -554,7 +554,7 @@ def random_words_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Orders of a log file, about.
-FILE_ROWS = 250_000
+FILE_ROWS = 500_000
 
 
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
